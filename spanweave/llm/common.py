@@ -15,6 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 CHUNK_BYTES = 1 << 20
@@ -59,7 +60,7 @@ def text_chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: in
     """Slices of the batches holding about `limit` bytes of text, with the texts; null is the empty text."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
-        sizes = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False))
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
         lo, n = 0, batch.num_rows
         while lo < n:
             before = int(sizes[lo - 1]) if lo else 0
