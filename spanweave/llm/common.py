@@ -179,8 +179,8 @@ class Words:
             out[np.repeat(lo[long], reps) + inside] = full[np.repeat(self.lo[long], reps) + inside]
         for i in np.flatnonzero((count > 0) & ~long):
             words = h[self.lo[i] : self.hi[i]]
-            salt = np.uint64(0x9FB21C651E98DF25) * np.uint64(len(words))
-            out[lo[i]] = mix(np.array([(words * powers(0xC2B2AE3D27D4EB4F, len(words))).sum(dtype=np.uint64) + salt]))[0]
+            salt = powers(0x9FB21C651E98DF25, k + 1)[len(words) :][:1]  # tells lengths apart
+            out[lo[i]] = mix((words * powers(0xC2B2AE3D27D4EB4F, len(words))).sum(dtype=np.uint64, keepdims=True) + salt)[0]
         return out, lo, hi
 
 

@@ -8,11 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import codec_digest
 from .common import read_table
+from .neardup import near_duplicates
 from .packing import pack
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"))
 
@@ -21,5 +26,5 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec_digest(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"op4_packing": op4_packing, "op6_bpe": op6_bpe}
+QUERIES: dict[str, Query] = {"op3_neardup": op3_neardup, "op4_packing": op4_packing, "op6_bpe": op6_bpe}
 ORACLES: dict[str, str] = {}
