@@ -10,10 +10,15 @@ from .bpe import codec_digest
 from .common import read_table
 from .neardup import near_duplicates
 from .packing import pack
+from .toxicity import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -26,5 +31,5 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec_digest(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"op3_neardup": op3_neardup, "op4_packing": op4_packing, "op6_bpe": op6_bpe}
+QUERIES: dict[str, Query] = {"op2_toxicity": op2_toxicity, "op3_neardup": op3_neardup, "op4_packing": op4_packing, "op6_bpe": op6_bpe}
 ORACLES: dict[str, str] = {}
