@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import codec_digest
 from .common import read_table
+from .html import extract
+from .knn import ORACLE as KNN_ORACLE
+from .knn import top_k
 from .neardup import near_duplicates
 from .packing import pack
 from .toxicity import toxicity
@@ -15,6 +18,10 @@ from .toxicity import toxicity
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(read_table(spark, sf_dir, "pages"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -31,5 +38,16 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec_digest(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"op2_toxicity": op2_toxicity, "op3_neardup": op3_neardup, "op4_packing": op4_packing, "op6_bpe": op6_bpe}
-ORACLES: dict[str, str] = {}
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(read_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Query] = {
+    "op1_html": op1_html,
+    "op2_toxicity": op2_toxicity,
+    "op3_neardup": op3_neardup,
+    "op4_packing": op4_packing,
+    "op6_bpe": op6_bpe,
+    "op10_topk": op10_topk,
+}
+ORACLES: dict[str, str] = {"op10_topk": KNN_ORACLE}
