@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import codec_digest
 from .common import read_table
+from .fingerprints import fingerprints
 from .html import extract
 from .knn import ORACLE as KNN_ORACLE
 from .knn import top_k
 from .neardup import near_duplicates
 from .packing import pack
+from .secrets import findings
 from .toxicity import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +40,14 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec_digest(read_table(spark, sf_dir, "documents"))
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(read_table(spark, sf_dir, "documents"))
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings(read_table(spark, sf_dir, "documents"))
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(read_table(spark, sf_dir, "embeddings"))
 
@@ -48,6 +58,8 @@ QUERIES: dict[str, Query] = {
     "op3_neardup": op3_neardup,
     "op4_packing": op4_packing,
     "op6_bpe": op6_bpe,
+    "op7_fingerprints": op7_fingerprints,
+    "op9_secrets": op9_secrets,
     "op10_topk": op10_topk,
 }
 ORACLES: dict[str, str] = {"op10_topk": KNN_ORACLE}
