@@ -15,6 +15,7 @@ from .knn import top_k
 from .neardup import near_duplicates
 from .packing import pack
 from .secrets import findings
+from .substrings import remove_repeats
 from .toxicity import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +37,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"))
 
 
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec_digest(read_table(spark, sf_dir, "documents"))
 
@@ -57,6 +62,7 @@ QUERIES: dict[str, Query] = {
     "op2_toxicity": op2_toxicity,
     "op3_neardup": op3_neardup,
     "op4_packing": op4_packing,
+    "op5_substrings": op5_substrings,
     "op6_bpe": op6_bpe,
     "op7_fingerprints": op7_fingerprints,
     "op9_secrets": op9_secrets,
