@@ -14,6 +14,7 @@ from .knn import ORACLE as KNN_ORACLE
 from .knn import top_k
 from .neardup import near_duplicates
 from .packing import pack
+from .passages import near_duplicate_passages
 from .secrets import findings
 from .substrings import remove_repeats
 from .toxicity import toxicity
@@ -49,6 +50,10 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(read_table(spark, sf_dir, "documents"))
 
 
+def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_passages(read_table(spark, sf_dir, "documents"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings(read_table(spark, sf_dir, "documents"))
 
@@ -65,6 +70,7 @@ QUERIES: dict[str, Query] = {
     "op5_substrings": op5_substrings,
     "op6_bpe": op6_bpe,
     "op7_fingerprints": op7_fingerprints,
+    "op8_passages": op8_passages,
     "op9_secrets": op9_secrets,
     "op10_topk": op10_topk,
 }
