@@ -7,8 +7,9 @@
    rule out pairs far below the threshold (a link passes them but for odds under 1e-6); the
    others are confirmed on the full shingle sets.
 3. A star can miss a link between two of its rays. So in every bucket that still spans several
-   components, members outside the bucket's largest component are held against all others, and what
-   passes the same rules is confirmed. Nothing is capped.
+   components, members outside the bucket's largest component are held against all others; what
+   passes the same rules, and could share enough shingles given those that no other such text has, is
+   confirmed. Nothing is capped.
 
 With 32 bands of 4 rows a pair at the threshold of 0.75 shares no bucket with odds of 5e-6, and much
 smaller ones above it.
@@ -159,8 +160,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     per = held.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     spans = written(per.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("bucket", F.col("main.root").alias("main")), "spans")
     held = written(held.join(spans, "bucket"), "held")
+    # A shingle that no other of these texts holds is in no intersection: with own[x] such shingles, two
+    # texts share at most least(n - own) of them. This rules out heavily edited copies of a common text.
+    lone = sets.join(held.select("cid").distinct(), "cid", "left_semi").select("cid", F.explode("members").alias("m"))
+    lone = lone.groupBy("m").agg(F.min("cid").alias("cid"), F.count("*").alias("n")).where("n = 1").groupBy("cid").agg(F.count("*").alias("own"))
+    held = written(held.join(lone, "cid", "left").withColumn("most", F.col("n_shingles") - F.coalesce("own", F.lit(0))).drop("own"), "held")
     outside = held.where("root <> main")
-    rest = outside.alias("a").join(held.alias("b"), F.expr(f"a.bucket = b.bucket and a.root <> b.root and (b.root = b.main or a.cid < b.cid) and {_may_link()}"))
+    rest = outside.alias("a").join(held.alias("b"), F.expr(f"a.bucket = b.bucket and a.root <> b.root and (b.root = b.main or a.cid < b.cid) and {100 + CLOSE} * least(a.most, b.most) >= {CLOSE} * (a.n_shingles + b.n_shingles) and {_may_link()}"))
     rest = rest.select(F.least("a.cid", "b.cid").alias("a"), F.greatest("a.cid", "b.cid").alias("b")).distinct()
     last = _confirmed(rest, sets)
     if not last.isEmpty():
