@@ -96,8 +96,8 @@ def _features(batches):
         sketch = np.packbits(bits, axis=1).copy().view(np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * BANDS, pa.int32()), pa.array(band.reshape(-1)))
         yield pa.RecordBatch.from_arrays(
-            [part.column("doc_id"), pa.array(sizes), pa.array(_class_ids(sets, sizes)), lists, *(pa.array(np.ascontiguousarray(sketch[:, j])) for j in range(4))],
-            ["doc_id", "n_shingles", "cid", "bands", "s0", "s1", "s2", "s3"],
+            [part.column("doc_id"), part.column("text_key"), pa.array(sizes), pa.array(_class_ids(sets, sizes)), lists, *(pa.array(np.ascontiguousarray(sketch[:, j])) for j in range(4))],
+            ["doc_id", "text_key", "n_shingles", "cid", "bands", "s0", "s1", "s2", "s3"],
         )
 
 
@@ -122,14 +122,14 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return written(counted.where(f"100 * both >= {CLOSE} * (total - both)").select("a", "b"), "links")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, with_key: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id, text).
 
     Null or wordless text: an empty set, linked with nothing (its own component). Fewer than five words:
     one shingle. Rows that repeat a doc_id are judged each by its text. A null doc_id stays null and
     kept. Extra columns are ignored; an empty table gives an empty one."""
     spark = docs.sparkSession
-    features = written(docs.select("doc_id", "text").mapInArrow(_features, "doc_id bigint, n_shingles bigint, cid bigint, bands array<bigint>, s0 bigint, s1 bigint, s2 bigint, s3 bigint"), "features")
+    features = written(docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key")).mapInArrow(_features, "doc_id bigint, text_key bigint, n_shingles bigint, cid bigint, bands array<bigint>, s0 bigint, s1 bigint, s2 bigint, s3 bigint"), "features")
     classes = written(features.where("n_shingles > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), *(F.min(c).alias(c) for c in ("n_shingles", "s0", "s1", "s2", "s3")), F.first("bands").alias("bands")), "classes")
     rows = classes.select("cid", F.explode("bands").alias("bucket"))
     # Tables are written before a join on a key that may be hot, so that both sides are shuffled and can be split.
@@ -175,6 +175,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rooted = classes.join(label, classes.cid == label.node, "left").select("cid", "rep", F.coalesce("root", "cid").alias("root"))
     smallest = written(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "smallest")
     named = rooted.join(smallest, "root").select("cid", "component_id")
-    out = features.select("doc_id", "n_shingles", "cid").join(named, "cid", "left")
+    out = features.select("doc_id", "text_key", "n_shingles", "cid").join(named, "cid", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return out.select("doc_id", *["text_key"] * with_key, "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+    """docs without the rows whose document is not kept; all columns stay. Rows that repeat both doc_id and
+    text are one document and stay or go together; rows without doc_id stay."""
+    text_key = F.xxhash64(F.coalesce("text", F.lit("")))
+    keyed = docs.select("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    gone = near_duplicates(keyed, with_key=True).where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    return docs.join(written(gone, "gone"), (docs["doc_id"] == F.col("_id")) & (text_key == F.col("_key")), "left_anti")
