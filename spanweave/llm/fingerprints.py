@@ -16,10 +16,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 BINS, TOP_BITS, LOW_BITS = 128, 7, 4
 PROBES = 16
 BUCKET, GROUP = 128, 1024
 NO_ID = -(2**63)
+OUT = ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANKS = "[ \\t\\n\\x0B\\f\\r]+"
 
@@ -94,24 +97,35 @@ def next_of(keys: DataFrame) -> DataFrame:
     return inner.join(ends, "g").select("bucket", F.coalesce("n", "next_lo").alias("next_bucket"))
 
 
+def _edited(n_chars: Column, text: Column, other: Column) -> Column:
+    cut = F.floor(n_chars / 4).cast("int")
+    return F.concat(F.substr(text, F.lit(1), (n_chars - cut).cast("int")), F.substr(other, F.lit(1), cut))
+
+
+def _finished(rows: DataFrame, *kept: str) -> DataFrame:
+    """rows: doc_id, n_chars, fingerprint, edited (null: not known yet), next_fingerprint, and what is kept."""
+    rows = rows.withColumn("edited_fingerprint", F.when(F.col("edited").isNotNull(), fingerprint(F.col("edited"))))
+    f = F.col("fingerprint")
+    return rows.select(*kept, *OUT[:2], F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", likeness(f, F.col("edited_fingerprint")).alias("near_edited"), likeness(f, F.col("next_fingerprint")).alias("near_next"))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Each row's fingerprint, that of its text with the end exchanged for the next row's beginning, and
-    the likeness of its fingerprint to that one and to the next row's."""
+    the likeness of its fingerprint to that one and to the next row's.
+
+    Rows meet their next one in buckets of neighbouring ids, so texts are shuffled once. Only the first
+    and last row of a bucket keep their texts for a second, small step across buckets."""
     order = F.coalesce(F.col("doc_id"), F.lit(NO_ID))
     bucket = F.floor(order / F.lit(float(BUCKET))).cast("bigint")
-    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), order.alias("k"), bucket.alias("bucket"))
-    dealt = keyed.withColumn("fingerprint", fingerprint(F.col("text"))).repartition("bucket")
+    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), order.alias("k"), bucket.alias("bucket")).withColumn("fingerprint", fingerprint(F.col("text")))
     inside = Window.partitionBy("bucket").orderBy("k", "text")
-    led = dealt.withColumn("n", F.lead(F.struct("text", "fingerprint")).over(inside))
-    ids = keyed.groupBy("bucket").agg(F.min("k").alias("first_k"))
-    turns = next_of(ids.select("bucket")).select(F.col("next_bucket").alias("bucket"), F.col("bucket").alias("before"))
-    heads = dealt.join(ids.join(turns, "bucket"), "bucket").where("k = first_k")
-    heads = heads.groupBy(F.col("before").alias("bucket")).agg(F.min(F.struct("text", "fingerprint")).alias("head"))
-    rows = led.join(heads, "bucket", "left").select("doc_id", "text", "fingerprint", F.coalesce("n", "head").alias("n"))
+    led = keyed.withColumn("n", F.lead(F.struct("text", "fingerprint")).over(inside)).withColumn("nth", F.row_number().over(inside))
     n_chars = F.char_length("text").cast("bigint")
-    cut = F.floor(n_chars / 4).cast("int")
-    edited = F.concat(F.substr("text", F.lit(1), (n_chars - cut).cast("int")), F.substr(F.col("n.text"), F.lit(1), cut))
-    rows = rows.select("doc_id", n_chars.alias("n_chars"), edited.alias("edited"), "fingerprint", F.col("n.fingerprint").alias("next_fingerprint"))
-    rows = rows.withColumn("edited_fingerprint", fingerprint(F.col("edited")))
-    f = F.col("fingerprint")
-    return rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", likeness(f, F.col("edited_fingerprint")).alias("near_edited"), likeness(f, F.col("next_fingerprint")).alias("near_next"))
+    edge = (F.col("nth") == 1) | F.col("n").isNull()
+    led = led.select("doc_id", "bucket", "nth", F.col("n").isNull().alias("last"), F.when(edge, F.col("text")).alias("text"), n_chars.alias("n_chars"), "fingerprint", F.col("n.fingerprint").alias("next_fingerprint"), _edited(n_chars, F.col("text"), F.col("n.text")).alias("edited"))
+    done = written(_finished(led, "bucket", "nth", "last", "text"), "fingerprints")
+    heads = done.where("nth = 1").select(F.col("bucket").alias("next_bucket"), F.col("text").alias("next_text"), F.col("fingerprint").alias("next_fingerprint"))
+    turns = next_of(done.where("nth = 1").select("bucket"))
+    lasts = done.where("last").select("doc_id", "bucket", "text", "n_chars", "fingerprint").join(turns, "bucket").join(heads, "next_bucket")
+    lasts = lasts.select("doc_id", "n_chars", "fingerprint", "next_fingerprint", _edited(F.col("n_chars"), F.col("text"), F.col("next_text")).alias("edited"))
+    return done.where("not last").select(*OUT).unionByName(_finished(lasts))
