@@ -49,7 +49,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/spanweave/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.scratch_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more; others pass unharmed."""
+    for t in tables:
+        if path := getattr(t, "scratch_path", None):
+            _remove(t.sparkSession, path)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

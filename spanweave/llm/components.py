@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -29,6 +29,10 @@ def components(edges: DataFrame) -> DataFrame:
         met = written(met.join(hooked, "node", "left").select("node", "before", F.least("root", "hook").alias("root")), "labels")
         jump = met.select(F.col("node").alias("root"), F.col("root").alias("up"))
         after = written(met.join(jump, "root", "left").select("node", "before", F.least("root", "up").alias("root")), "labels")
-        labels = after.select("node", "root")
-        if after.where("root < before").isEmpty():
+        done = after.where("root < before").isEmpty()
+        discard(labels, met)
+        labels = written(after.select("node", "root"), "labels") if done else after.drop("before")
+        labels.scratch_path = getattr(labels, "scratch_path", after.scratch_path)
+        if done:
+            discard(after, both)
             return labels

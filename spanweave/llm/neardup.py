@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mix, text_chunks, written
+from .common import Words, discard, mix, text_chunks, written
 from .components import components
 
 BINS, BANDS = 128, 32
@@ -130,13 +130,14 @@ def near_duplicates(docs: DataFrame, with_key: bool = False) -> DataFrame:
     kept. Extra columns are ignored; an empty table gives an empty one."""
     spark = docs.sparkSession
     features = written(docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key")).mapInArrow(_features, "doc_id bigint, text_key bigint, n_shingles bigint, cid bigint, bands array<bigint>, s0 bigint, s1 bigint, s2 bigint, s3 bigint"), "features")
-    classes = written(features.where("n_shingles > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), *(F.min(c).alias(c) for c in ("n_shingles", "s0", "s1", "s2", "s3")), F.first("bands").alias("bands")), "classes")
-    rows = classes.select("cid", F.explode("bands").alias("bucket"))
+    whole = written(features.where("n_shingles > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), *(F.min(c).alias(c) for c in ("n_shingles", "s0", "s1", "s2", "s3")), F.first("bands").alias("bands")), "classes")
+    rows = whole.select("cid", F.explode("bands").alias("bucket"))
     # Tables are written before a join on a key that may be hot, so that both sides are shuffled and can be split.
     mixed = written(rows.groupBy("bucket").agg(F.min("cid").alias("hub"), F.max("cid").alias("top")).where("hub < top").select("bucket", "hub"), "mixed")
     members = written(rows.join(mixed, "bucket"), "members")
-    classes = classes.drop("bands")
+    classes = whole.drop("bands")
     wanted = classes.join(members.select("cid").distinct(), "cid", "left_semi")
+    discard(mixed)
     texts = docs.select("doc_id", "text").join(wanted.select(F.col("rep").alias("doc_id"), "cid"), "doc_id").select("cid", "text")
     sets = written(texts.mapInArrow(_sets, "cid bigint, members array<bigint>").dropDuplicates(["cid"]), "sets")
 
@@ -152,6 +153,7 @@ def near_duplicates(docs: DataFrame, with_key: bool = False) -> DataFrame:
 
     more = _confirmed(apart(stars), sets)
     if not more.isEmpty():
+        discard(label)
         links = links.union(more)
         label = components(links)
 
@@ -159,25 +161,30 @@ def near_duplicates(docs: DataFrame, with_key: bool = False) -> DataFrame:
     held = members.select("bucket", "cid").join(info, "cid")
     per = held.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     spans = written(per.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("bucket", F.col("main.root").alias("main")), "spans")
-    held = written(held.join(spans, "bucket"), "held")
+    near = written(held.join(spans, "bucket"), "held")
     # A shingle that no other of these texts holds is in no intersection: with own[x] such shingles, two
     # texts share at most least(n - own) of them. This rules out heavily edited copies of a common text.
-    lone = sets.join(held.select("cid").distinct(), "cid", "left_semi").select("cid", F.explode("members").alias("m"))
+    lone = sets.join(near.select("cid").distinct(), "cid", "left_semi").select("cid", F.explode("members").alias("m"))
     lone = lone.groupBy("m").agg(F.min("cid").alias("cid"), F.count("*").alias("n")).where("n = 1").groupBy("cid").agg(F.count("*").alias("own"))
-    held = written(held.join(lone, "cid", "left").withColumn("most", F.col("n_shingles") - F.coalesce("own", F.lit(0))).drop("own"), "held")
+    held = written(near.join(lone, "cid", "left").withColumn("most", F.col("n_shingles") - F.coalesce("own", F.lit(0))).drop("own"), "held")
     outside = held.where("root <> main")
     rest = outside.alias("a").join(held.alias("b"), F.expr(f"a.bucket = b.bucket and a.root <> b.root and (b.root = b.main or a.cid < b.cid) and {100 + CLOSE} * least(a.most, b.most) >= {CLOSE} * (a.n_shingles + b.n_shingles) and {_may_link()}"))
     rest = rest.select(F.least("a.cid", "b.cid").alias("a"), F.greatest("a.cid", "b.cid").alias("b")).distinct()
     last = _confirmed(rest, sets)
     if not last.isEmpty():
-        label = components(links.union(last))
+        former, label = label, components(links.union(last))
+        discard(former)
+    discard(near, held, members, sets, stars, spans)
 
     rooted = classes.join(label, classes.cid == label.node, "left").select("cid", "rep", F.coalesce("root", "cid").alias("root"))
     smallest = written(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "smallest")
     named = rooted.join(smallest, "root").select("cid", "component_id")
     out = features.select("doc_id", "text_key", "n_shingles", "cid").join(named, "cid", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", *["text_key"] * with_key, "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = out.select("doc_id", *["text_key"] * with_key, "n_shingles", component.alias("component_id"))
+    out = written(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "near_duplicates")
+    discard(features, whole, label, smallest)
+    return out
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:

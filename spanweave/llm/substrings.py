@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, BASE_INV, byte_values, mix, powers, text_chunks, written
+from .common import BASE, BASE_INV, byte_values, discard, mix, powers, text_chunks, written
 from .induced import repeated
 
 LENGTH, GRAM = 200, 100
@@ -207,6 +207,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_bytes:
     held = texts.join(held, texts["doc_id"].eqNullSafe(held["doc_id"])).where(same)
     held = written(held.select(F.col("wanted").alias("tid"), "text", "units").dropDuplicates(["tid"]), "texts")
 
+    discard(names)
     pieces = written(held.mapInArrow(_cut_units(length), "uid binary, name bigint, tid binary, first int, piece binary"), "pieces")
     kinds = written(pieces.groupBy("uid").agg(F.count("*").alias("copies"), F.first("name").alias("name"), F.first("piece").alias("piece")), "kinds")
     per_name = written(kinds.groupBy("name").agg(F.count("*").alias("kinds"), F.sum(F.octet_length("piece")).alias("size")), "per_name")
@@ -231,7 +232,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_bytes:
     found = written(found, "found")
     covered = pieces.select("uid", "tid", "first").join(found, "uid").groupBy("tid").agg(F.collect_list(F.struct("first", "runs")).alias("found"))
     spans = written(covered.mapInArrow(_spans(length), "tid binary, spans array<struct<begin:int,end:int>>"), "spans")
-    return rows.join(classes.select("tid", "n_rows"), "tid"), spans, held.select("tid", "text")
+    discard(pieces, kinds, per_name, found)
+    return rows.join(classes.select("tid", "n_rows"), "tid"), spans, held
 
 
 def _removed():
@@ -256,7 +258,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, **options) -> DataFram
     cut = texts.join(spans, "tid").select("tid", _removed().alias("removed"), F.size("spans").cast("bigint").alias("runs"), F.sha2(_kept(), 256).alias("kept"))
     whole = (F.col("n_rows") > 1) & (F.col("n_bytes") >= length)
     zero = F.lit(0).cast("bigint")
-    return rows.join(written(cut, "cut"), "tid", "left").select(
+    cut = written(cut, "cut")
+    discard(texts, spans)
+    return rows.join(cut, "tid", "left").select(
         "doc_id",
         "n_bytes",
         F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("removed", zero)).alias("n_removed"),
