@@ -3,12 +3,12 @@
 1. One Arrow pass hashes each text's distinct shingles once into BINS bins, fills empty bins from
    full ones (each empty bin probes the bins in its own pseudo-random order until one is full) and
    folds ROWS bins a band into BANDS bucket keys. Texts with the same shingle set share a class id.
-2. A bucket's members are joined to its smallest member only, a star; size and a one-bit sketch
+2. A bucket's members are joined to its most typical member only, a star; size and a one-bit sketch
    rule out pairs far below the threshold (a link passes them but for odds under 1e-6); the
    others are confirmed on the full shingle sets.
 3. A star can miss a link between two of its rays. So in every bucket that still spans several
-   components, members outside the bucket's largest component are held against all others; what
-   passes the same rules, and could share enough shingles given those that no other such text has, is
+   components, members outside the bucket's largest component meet all others with which they share
+   one of their rarest shingles, as many of them as a link could miss; what passes the same rules is
    confirmed. Nothing is capped.
 
 With 32 bands of 4 rows a pair at the threshold of 0.75 shares no bucket with odds of 5e-6, and much
@@ -128,12 +128,11 @@ def near_duplicates(docs: DataFrame, with_key: bool = False) -> DataFrame:
     Null or wordless text: an empty set, linked with nothing (its own component). Fewer than five words:
     one shingle. Rows that repeat a doc_id are judged each by its text. A null doc_id stays null and
     kept. Extra columns are ignored; an empty table gives an empty one."""
-    spark = docs.sparkSession
     features = written(docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key")).mapInArrow(_features, "doc_id bigint, text_key bigint, n_shingles bigint, cid bigint, bands array<bigint>, s0 bigint, s1 bigint, s2 bigint, s3 bigint"), "features")
     whole = written(features.where("n_shingles > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), *(F.min(c).alias(c) for c in ("n_shingles", "s0", "s1", "s2", "s3")), F.first("bands").alias("bands")), "classes")
     rows = whole.select("cid", F.explode("bands").alias("bucket"))
     # Tables are written before a join on a key that may be hot, so that both sides are shuffled and can be split.
-    mixed = written(rows.groupBy("bucket").agg(F.min("cid").alias("hub"), F.max("cid").alias("top")).where("hub < top").select("bucket", "hub"), "mixed")
+    mixed = written(rows.groupBy("bucket").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("bucket", "n"), "mixed")
     members = written(rows.join(mixed, "bucket"), "members")
     classes = whole.drop("bands")
     wanted = classes.join(members.select("cid").distinct(), "cid", "left_semi")
@@ -141,10 +140,13 @@ def near_duplicates(docs: DataFrame, with_key: bool = False) -> DataFrame:
     texts = docs.select("doc_id", "text").join(wanted.select(F.col("rep").alias("doc_id"), "cid"), "doc_id").select("cid", "text")
     sets = written(texts.mapInArrow(_sets, "cid bigint, members array<bigint>").dropDuplicates(["cid"]), "sets")
 
-    stars = members.where("cid <> hub").groupBy("cid", "hub").count().select("cid", "hub")
-    stars = stars.alias("p").join(classes.alias("a"), F.expr("p.cid = a.cid")).join(classes.alias("b"), F.expr("p.hub = b.cid")).where(_may_link()).select(F.col("p.cid").alias("a"), F.col("p.hub").alias("b"))
+    # The hub of a bucket is its member that shares most buckets with others: of edited copies the least edited.
+    typical = written(members.groupBy("cid").agg(F.sum("n").alias("met")), "typical")
+    hubs = written(members.join(typical, "cid").groupBy("bucket").agg(F.max(F.struct("met", "cid")).alias("h")).select("bucket", F.col("h.cid").alias("hub"), F.col("h.met").alias("met")), "hubs")
+    stars = members.join(hubs, "bucket").where("cid <> hub").groupBy("cid", "hub", "met").count()
+    stars = stars.alias("p").join(classes.alias("a"), F.expr("p.cid = a.cid")).join(classes.alias("b"), F.expr("p.hub = b.cid")).where(_may_link()).select(F.col("p.cid").alias("a"), F.col("p.hub").alias("b"), "p.met")
     stars = written(stars, "stars")
-    links = _confirmed(stars.groupBy("a").agg(F.min("b").alias("b")), sets)
+    links = _confirmed(stars.groupBy("a").agg(F.max(F.struct("met", "b")).alias("k")).select("a", F.col("k.b").alias("b")), sets)
     label = components(links)
 
     def apart(pairs: DataFrame) -> DataFrame:
@@ -162,19 +164,23 @@ def near_duplicates(docs: DataFrame, with_key: bool = False) -> DataFrame:
     per = held.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     spans = written(per.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("bucket", F.col("main.root").alias("main")), "spans")
     near = written(held.join(spans, "bucket"), "held")
-    # A shingle that no other of these texts holds is in no intersection: with own[x] such shingles, two
-    # texts share at most least(n - own) of them. This rules out heavily edited copies of a common text.
-    lone = sets.join(near.select("cid").distinct(), "cid", "left_semi").select("cid", F.explode("members").alias("m"))
-    lone = lone.groupBy("m").agg(F.min("cid").alias("cid"), F.count("*").alias("n")).where("n = 1").groupBy("cid").agg(F.count("*").alias("own"))
-    held = written(near.join(lone, "cid", "left").withColumn("most", F.col("n_shingles") - F.coalesce("own", F.lit(0))).drop("own"), "held")
-    outside = held.where("root <> main")
-    rest = outside.alias("a").join(held.alias("b"), F.expr(f"a.bucket = b.bucket and a.root <> b.root and (b.root = b.main or a.cid < b.cid) and {100 + CLOSE} * least(a.most, b.most) >= {CLOSE} * (a.n_shingles + b.n_shingles) and {_may_link()}"))
+    # Two texts share `both` = ceil(3 / 7 * (n_a + n_b)) shingles at least, so with shingles from rare to
+    # common each has a shared one among its first n - both + 1. Heavily edited copies of a common text
+    # begin with their own edits, so they meet few others there.
+    tokens = sets.join(near.select("cid").distinct(), "cid", "left_semi").select("cid", F.explode("members").alias("m"))
+    rarity = written(tokens.groupBy("m").agg(F.count("*").alias("df")), "rarity")
+    listed = tokens.join(rarity, "m").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("df", "m"))).alias("all"))
+    first = listed.select("cid", F.posexplode(F.slice("all", F.lit(1), F.size("all") - F.ceil(F.size("all") * (CLOSE / 100)).cast("int") + 1)).alias("place", "t")).select("cid", "place", "t.m")
+    first = written(first.join(info.select("cid", "n_shingles", "s0", "s1", "s2", "s3", "root"), "cid"), "first")
+    outside = first.join(near.where("root <> main").select("cid").distinct(), "cid", "left_semi")
+    both = "(3 * (a.n_shingles + b.n_shingles) + 6) div 7"
+    rest = outside.alias("a").join(first.alias("b"), F.expr(f"a.m = b.m and a.root <> b.root and a.place + {both} <= a.n_shingles and b.place + {both} <= b.n_shingles and {_may_link()}"))
     rest = rest.select(F.least("a.cid", "b.cid").alias("a"), F.greatest("a.cid", "b.cid").alias("b")).distinct()
     last = _confirmed(rest, sets)
     if not last.isEmpty():
         former, label = label, components(links.union(last))
         discard(former)
-    discard(near, held, members, sets, stars, spans)
+    discard(near, members, sets, typical, hubs, stars, spans, rarity, first)
 
     rooted = classes.join(label, classes.cid == label.node, "left").select("cid", "rep", F.coalesce("root", "cid").alias("root"))
     smallest = written(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "smallest")
