@@ -2,8 +2,8 @@
 
 Vectors are grouped by their nearest pivot. Each group's size and largest distance to its pivot (a few
 numbers a group) bound the inner product of any query with any member: q.p - |q| r and q.p + |q| r. For
-each query the lower bounds and sizes give a score that its k-th result reaches at least; only groups
-whose upper bound reaches that get the query. Groups are dealt in blocks of bounded numbers of data and
+each query the lower bounds and sizes, without the rows of the query's own id, give a score that its k-th
+result reaches at least; only groups whose upper bound reaches that get the query. Groups are dealt in blocks of bounded numbers of data and
 queries, solved by matrix products, and the block results merged. Blocks keep a group with a third of all
 rows from being one task.
 
@@ -89,6 +89,7 @@ def top_k(vectors: DataFrame, queries_where: str = "vec_id % 50 = 0", k: int = 5
     queries = data.where(queries_where)
     n_queries = queries.count()
     cells = np.array(sorted(summary))
+    place = {int(c): i for i, c in enumerate(cells)}
     sizes = np.array([summary[c][0] for c in cells])
     radius = np.array([summary[c][1] for c in cells])
     blocks = -(-sizes // DATA_BLOCK)
@@ -101,11 +102,14 @@ def top_k(vectors: DataFrame, queries_where: str = "vec_id % 50 = 0", k: int = 5
             slack = 1e-9 * (np.abs(middle) + spread) + 1e-6
             low, high = middle - spread - slack, middle + spread + slack
             order = np.argsort(-low, axis=1, kind="stable")
-            # The query itself may be among the first k + 1, so that many rows are needed.
-            enough = (np.cumsum(sizes[order], axis=1) >= k + 1).argmax(axis=1)
+            # Rows with the query's own id are no results: one in its cell, or those counted in `own`.
+            others = np.tile(sizes, (len(q), 1))
+            for i, (cell, own) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                for c, copies in ((o["cell"], o["n"]) for o in own) if own else ((cell, 1),):
+                    others[i, place[c]] -= copies
+            enough = (np.cumsum(np.take_along_axis(others, order, 1), axis=1) >= k).argmax(axis=1)
             known = np.take_along_axis(low, np.take_along_axis(order, enough[:, None], 1), 1)
-            if sizes.sum() < k + 1:
-                known[:] = -np.inf
+            known[others.sum(axis=1) < k] = -np.inf
             row, at = np.nonzero(high >= known)
             dealt = blocks[at]
             row, cell = np.repeat(row, dealt), np.repeat(cells[at], dealt)
@@ -113,7 +117,11 @@ def top_k(vectors: DataFrame, queries_where: str = "vec_id % 50 = 0", k: int = 5
             # ids and places only; the vectors join them behind the shuffle
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(cell.astype(np.int32)), pa.array(block.astype(np.int32)), batch.column(1).take(pa.array(row))], ["query_id", "cell", "block", "v"])
 
-    sent = queries.select("vec_id", "v").mapInArrow(send, "query_id bigint, cell int, block int, v binary")
+    asked = queries.select(F.col("vec_id").alias("of")).distinct()
+    per_cell = data.groupBy("vec_id", "cell").agg(F.count("*").alias("n")).join(asked, F.col("vec_id") == F.col("of"), "left_semi")
+    repeated = per_cell.groupBy(F.col("vec_id").alias("of")).agg(F.collect_list(F.struct("cell", "n")).alias("own"), F.sum("n").alias("rows")).where("rows > 1").select("of", "own")
+    held = queries.join(written(repeated, "repeated"), F.col("vec_id") == F.col("of"), "left")
+    sent = held.select("vec_id", "v", "cell", "own").mapInArrow(send, "query_id bigint, cell int, block int, v binary")
     sent = sent.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int"))
     block_of = F.element_at(F.create_map(*[F.lit(int(x)) for c, b in zip(cells, blocks, strict=True) for x in (c, b)]), F.col("cell"))
     dealt = data.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(3)), block_of).cast("int")).select("cell", "block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("part"), "vec_id", "v")

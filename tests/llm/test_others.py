@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -127,6 +128,17 @@ def test_top_k_against_all_pairs(spark):
     assert knn.top_k(table.where("vec_id in (50, 51)")).collect()[0]["vec_id"] == 51
 
 
+def test_top_k_of_an_id_with_many_rows(spark, tmp_path):
+    """A third of all rows repeat a query's id: they fill the cells with the best bounds but are no results."""
+    rng = np.random.default_rng(1)
+    rows = [(i, (rng.normal(0, 0.1, 4) + 3 * (i % 8)).tolist()) for i in range(1, 241)] + [(50, [40.0] * 4)] * 120
+    pd.DataFrame(rows, columns=["vec_id", "embedding"]).to_parquet(tmp_path / "embeddings.parquet")
+    table = spark.read.parquet(str(tmp_path / "embeddings.parquet"))
+    got, want = knn.top_k(table, pivots=400).toPandas(), duck(str(tmp_path), ORACLES["op10_topk"])
+    assert rows_of(got) == rows_of(want)
+    assert len(got[got.query_id == 50]) == 5
+
+
 def test_top_k_beyond_doubles():
     ids, big = np.array([1, 2]), np.array([[2.0**40, 1.0], [2.0**40, 0.0]])
     got = knn.top_rows(ids, big, np.array([9]), np.array([[2.0**20, 1.0]]), 2)
