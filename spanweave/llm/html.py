@@ -32,6 +32,9 @@ DROPPED = frozenset("head script style noscript template svg math canvas iframe
 PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote td th figcaption caption address summary".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+HEAD_TAGS = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
+TABLE_PARTS = frozenset("table caption thead tbody tfoot tr td th".split())
+BARRIERS = (CLOSES_P | DROPPED) - {"address", "div", "p"}  # no li, dt or dd ends one beyond these
 SCOPE = frozenset("table td th caption button html body".split())
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 JUNK_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
@@ -121,6 +124,43 @@ def parse(source: str) -> Page:
             buffer.clear()
         links = 0
 
+    def end_ends_skip(tag: str) -> bool:
+        """An end tag inside a left-out element: whether it belongs to an open element around that one."""
+        for i in range(len(skip) - 1, -1, -1):
+            if skip[i] == tag:
+                del skip[i:]
+                return False
+            if tag in INLINE and skip[i] not in INLINE or skip[i] == "table" or tag not in TABLE_PARTS and skip[i] in SCOPE and (tag == "p" or skip[i] != "button"):
+                return False
+        for t, _ in reversed(stack[1:]):
+            if t == tag:
+                return True
+            if tag in INLINE and t not in INLINE:
+                return False
+        return False
+
+    def start_ends_skip(tag: str) -> bool:
+        """A start tag inside a left-out element: whether an end tag that it implies ends that one."""
+        if skip == ["head"] and tag not in HEAD_TAGS:
+            skip.clear()
+            return True
+        rules = [({"p"}, SCOPE)] if tag in CLOSES_P else []
+        if tag in IMPLIED:
+            ends, scope = IMPLIED[tag]
+            rules.append((ends, scope | BARRIERS if tag in ("li", "dt", "dd") else scope))
+        for ends, scope in rules:
+            at = len(skip)
+            for i in range(len(skip) - 1, -1, -1):
+                if skip[i] in ends:
+                    at = i
+                elif skip[i] in scope:
+                    break
+            else:
+                if at == len(skip) and next((t for t, _ in reversed(stack[1:]) if t in ends or t in scope), "") in ends:
+                    at = 0
+            del skip[at:]
+        return not skip
+
     while place < end:
         m = TOKEN.search(source, place)
         if m is None:
@@ -138,10 +178,9 @@ def parse(source: str) -> Page:
         tag, closing, attrs = name.lower(), m[1] or m[4], m[3] or m[6] or ""
         if closing:
             if skip:
-                if tag in skip:
-                    while skip.pop() != tag:
-                        pass
-                continue
+                if not end_ends_skip(tag):
+                    continue
+                skip.clear()
             if tag not in INLINE:
                 end_block()
             for i in range(len(stack) - 1, 0, -1):
@@ -156,9 +195,8 @@ def parse(source: str) -> Page:
             place = end if stop is None else source.find(">", stop.start()) + 1 or end
             continue
         alone = tag in VOID or attrs.endswith("/") and tag in ("path", "use", "rect", "circle", "line", "g")
-        if skip:
-            # A left-out p, li or the like may lack its end tag: only nested like tags are counted.
-            if not alone and (tag == skip[0] or tag in ("div", "section", "ul", "ol", "table", "form", "nav", "aside", "span")):
+        if skip and (tag in ("html", "body") and skip[0] != "head" or not start_ends_skip(tag)):
+            if not alone and tag not in ("html", "body") and not (attrs.endswith("/") and ("svg" in skip or "math" in skip)):
                 skip.append(tag)
             continue
         if tag == "br":

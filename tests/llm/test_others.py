@@ -30,6 +30,23 @@ def test_main_text():
     assert html.main_text("text <p class='") == "text"  # an open tag at the end
 
 
+def test_left_out_elements_without_end_tags():
+    for source, want in (
+        ('<div><article><p class="ad">x<p>Article text</p></article></div><p>after', "Article text"),
+        ('<article><ul><li class="share">a<li>b<li>c</ul><p>d</article>', "b\nc\nd"),
+        ('<article><dl><dt>t<dd class="ad">x<dt>u<dd>v</dl></article>', "t\nu\nv"),
+        ('<article><table><tr><td class="ad">x<td>y<tr class="promo"><td>z<tr><td>w</table>end</article>', "y\nw\nend"),
+        ('<article><div><span class="ad">x</div><p>text</article>', "text"),
+        ('<article><div class="ad"><div>x</article><article><p>more, and more</article>', "more, and more"),
+        ('<article><p class="ad">x<b>y</p><p>text</article>', "text"),
+        ("<head><title>t</title><body><article><p>text</article>", "text"),
+    ):
+        assert html.main_text(source) == want
+    # what stays left out: lists and paragraphs inside, and stray end tags
+    for source in ('<nav><li>a<li>b</b></p></nav>', '<ul><li>k<nav><li>a<li>b</nav></ul>', '<div class="ad"><p>a<p>b<ul><li>c<li>d</ul>e</div>', '<aside><table><tr><td>a</div></p><td>b</table>c</aside>'):
+        assert html.main_text(f"<article>{source}<p>text</article>") in ("text", "k\ntext")
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="<>/apdivn b='\"&;!-", max_size=80))
 def test_any_markup_gives_text(source):
