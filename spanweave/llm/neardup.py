@@ -3,9 +3,8 @@
 1. One Arrow pass hashes each text's distinct shingles once into BINS bins, fills empty bins from
    full ones (each empty bin probes the bins in its own pseudo-random order until one is full) and
    folds ROWS bins a band into BANDS bucket keys. Texts with the same shingle set share a class id.
-2. A bucket's members are joined to its most typical member only, a star; size and a one-bit sketch
-   rule out pairs far below the threshold (a link passes them but for odds under 1e-6); the
-   others are confirmed on the full shingle sets.
+2. A bucket's members are joined to its most typical member only, a star; pairs whose sizes alone
+   keep them below the threshold are ruled out, all others are confirmed on the full shingle sets.
 3. A star can miss a link between two of its rays. So in every bucket that still spans several
    components, members outside the bucket's largest component meet all others with which they share
    one of their rarest shingles, as many of them as a link could miss; what passes the same rules is
@@ -29,8 +28,6 @@ from .components import components
 
 BINS, BANDS = 128, 32
 ROWS = BINS // BANDS
-#: Of 256 sketch bits, a pair at similarity 0.75 is expected to share 224, with a deviation of 5.3.
-SKETCH_BITS, LEAST_BITS = 256, 196
 CLOSE = 75  # per cent
 
 
@@ -83,7 +80,6 @@ def _class_ids(sets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def _features(batches):
-    shift = np.uint64(7)
     for part, texts in text_chunks(batches):
         sets, sizes = distinct_shingles(texts)
         sig = signature(sets, sizes)
@@ -92,12 +88,10 @@ def _features(batches):
             band = mix(band * np.uint64(31) + sig[:, r::ROWS])
         band = (band ^ mix(np.arange(1, BANDS + 1, dtype=np.uint64))).view(np.int64)
         band[sizes == 0] = 0
-        bits = np.concatenate([(mix(sig) >> shift) & np.uint64(1), (mix(sig) >> np.uint64(23)) & np.uint64(1)], axis=1).astype(np.uint8)
-        sketch = np.packbits(bits, axis=1).copy().view(np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * BANDS, pa.int32()), pa.array(band.reshape(-1)))
         yield pa.RecordBatch.from_arrays(
-            [part.column("doc_id"), part.column("text_key"), pa.array(sizes), pa.array(_class_ids(sets, sizes)), lists, *(pa.array(np.ascontiguousarray(sketch[:, j])) for j in range(4))],
-            ["doc_id", "text_key", "n_shingles", "cid", "bands", "s0", "s1", "s2", "s3"],
+            [part.column("doc_id"), part.column("text_key"), pa.array(sizes), pa.array(_class_ids(sets, sizes)), lists],
+            ["doc_id", "text_key", "n_shingles", "cid", "bands"],
         )
 
 
@@ -110,8 +104,7 @@ def _sets(batches):
 
 
 def _may_link() -> str:
-    near = " + ".join(f"bit_count(a.s{j} ^ b.s{j})" for j in range(4))
-    return f"100 * least(a.n_shingles, b.n_shingles) >= {CLOSE} * greatest(a.n_shingles, b.n_shingles) and {near} <= {SKETCH_BITS - LEAST_BITS}"
+    return f"100 * least(a.n_shingles, b.n_shingles) >= {CLOSE} * greatest(a.n_shingles, b.n_shingles)"
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -128,8 +121,8 @@ def near_duplicates(docs: DataFrame, with_key: bool = False) -> DataFrame:
     Null or wordless text: an empty set, linked with nothing (its own component). Fewer than five words:
     one shingle. Rows that repeat a doc_id are judged each by its text. A null doc_id stays null and
     kept. Extra columns are ignored; an empty table gives an empty one."""
-    features = written(docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key")).mapInArrow(_features, "doc_id bigint, text_key bigint, n_shingles bigint, cid bigint, bands array<bigint>, s0 bigint, s1 bigint, s2 bigint, s3 bigint"), "features")
-    whole = written(features.where("n_shingles > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), *(F.min(c).alias(c) for c in ("n_shingles", "s0", "s1", "s2", "s3")), F.first("bands").alias("bands")), "classes")
+    features = written(docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key")).mapInArrow(_features, "doc_id bigint, text_key bigint, n_shingles bigint, cid bigint, bands array<bigint>"), "features")
+    whole = written(features.where("n_shingles > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")), "classes")
     rows = whole.select("cid", F.explode("bands").alias("bucket"))
     # Tables are written before a join on a key that may be hot, so that both sides are shuffled and can be split.
     mixed = written(rows.groupBy("bucket").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("bucket", "n"), "mixed")
@@ -171,7 +164,7 @@ def near_duplicates(docs: DataFrame, with_key: bool = False) -> DataFrame:
     rarity = written(tokens.groupBy("m").agg(F.count("*").alias("df")), "rarity")
     listed = tokens.join(rarity, "m").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("df", "m"))).alias("all"))
     first = listed.select("cid", F.posexplode(F.slice("all", F.lit(1), F.size("all") - F.ceil(F.size("all") * (CLOSE / 100)).cast("int") + 1)).alias("place", "t")).select("cid", "place", "t.m")
-    first = written(first.join(info.select("cid", "n_shingles", "s0", "s1", "s2", "s3", "root"), "cid"), "first")
+    first = written(first.join(info.select("cid", "n_shingles", "root"), "cid"), "first")
     outside = first.join(near.where("root <> main").select("cid").distinct(), "cid", "left_semi")
     both = "(3 * (a.n_shingles + b.n_shingles) + 6) div 7"
     rest = outside.alias("a").join(first.alias("b"), F.expr(f"a.m = b.m and a.root <> b.root and a.place + {both} <= a.n_shingles and b.place + {both} <= b.n_shingles and {_may_link()}"))

@@ -46,6 +46,16 @@ def test_near_duplicates_against_all_pairs(spark):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def test_short_near_duplicates_are_all_linked(spark):
+    """Seven words, and the same with one more: 3 of 4 shingles, whose few hashes fill all bins."""
+    rows = []
+    for k, i in enumerate((20, 72, 163, 169, 198, 203, 268, 281, 302, 305, 329, 349)):
+        words = [f"w{i}x{j}" for j in range(8)]
+        rows += [(2 * k, " ".join(words[:7]), *[None] * 6), (2 * k + 1, " ".join(words), *[None] * 6)]
+    got = neardup.near_duplicates(tables.documents(spark, rows)).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == sorted(brute_components(rows))
+
+
 def test_near_duplicates_on_nothing(spark):
     assert neardup.near_duplicates(tables.empty(spark)).count() == 0
     lone = neardup.near_duplicates(tables.documents(spark, [(None, "a b c d e f", *[None] * 6)])).first()
