@@ -448,7 +448,7 @@ def interpolate(fx):
 def substring_line(fx):
     size = geo.line_length(F.col("line"))
     part = geo.substring_line(F.col("line"), size * 0.25, size * 0.75)
-    return _lines(fx).where("road_id % 10 = 0").select("road_id", _r(geo.line_length(part)).alias("part_x1000"), _r(size).alias("length_x1000"))
+    return _lines(fx).select("road_id", _r(geo.line_length(part)).alias("part_x1000"), _r(size).alias("length_x1000"))
 
 
 @query("SELECT road_id, line[1].x AS x, line[1].y AS y FROM (SELECT road_id, CASE WHEN pow(line[1].x, 2) + pow(line[1].y, 2) > pow(line[1].x - 9, 2) + pow(line[1].y - 9, 2) THEN list_reverse(line) ELSE line END AS line FROM ln)", LINES)
@@ -472,13 +472,13 @@ def densify_points(fx):
     return at.select("road_id", geo.interpolate(line, F.col("at")).alias("p")).groupBy("road_id").agg(F.count("p").alias("points"))
 
 
-#: Sample points every three units of every thirtieth road, and the nearest one to each location.
+#: Sample points every three units of every road, and the nearest one to each location.
 @query()
 def snap_to_samples(fx):
     line = F.col("line")
-    at = _lines(fx).where("road_id % 30 = 1").select("road_id", "line", F.posexplode(geo.sample_places(geo.line_length(line), 3.0)).alias("i", "at"))
+    at = _lines(fx).select("road_id", "line", F.posexplode(geo.sample_places(geo.line_length(line), 3.0)).alias("i", "at"))
     p = at.select((F.col("road_id") * 10000 + F.col("i")).alias("id"), geo.interpolate(line, F.col("at")).alias("p")).select("id", "p.x", "p.y")
-    q = fx.locations.where("loc_id < 200").select(F.col("loc_id").alias("id"), ((F.col("lon_u") + 73900000) / 1000).alias("x"), ((F.col("lat_u") - 42600000) / 1000).alias("y"))
+    q = fx.locations.select(F.col("loc_id").alias("id"), ((F.col("lon_u") + 73900000) / 1000).alias("x"), ((F.col("lat_u") - 42600000) / 1000).alias("y"))
     return X.nearest(q, p, 1, 2).select(F.col("q_id").alias("loc_id"), "id", _r(F.col("d2")).alias("d2_x1000"))
 
 
@@ -545,7 +545,7 @@ def parse_polyline(fx):
 
 @query()
 def wkb_roundtrip(fx):
-    there = _lines(fx).where("road_id % 10 = 0").withColumn("raw", shapes.to_wkb(F.col("line")))
+    there = _lines(fx).withColumn("raw", shapes.to_wkb(F.col("line")))
     return there.select("road_id", F.octet_length("raw").alias("bytes"), (shapes.from_wkb(F.col("raw")) == F.col("line")).alias("same"))
 
 
@@ -607,7 +607,7 @@ def geometry_gate(fx):
     """Single points pass, several points become one row each, other kinds are an error."""
     from .sources.readers import point_rows
 
-    shapes_ = fx.locations.where("loc_id < 20").select("loc_id", F.when(F.col("loc_id") % 2 == 0, "Point").otherwise("MultiPoint").alias("kind"), F.transform(F.sequence(F.lit(0), F.when(F.col("loc_id") % 2 == 0, 0).otherwise(2)), lambda i: F.struct((F.col("lon_u") + i).cast("double").alias("x"), F.col("lat_u").cast("double").alias("y"))).alias("points"))
+    shapes_ = fx.locations.select("loc_id", F.when(F.col("loc_id") % 2 == 0, "Point").otherwise("MultiPoint").alias("kind"), F.transform(F.sequence(F.lit(0), F.when(F.col("loc_id") % 2 == 0, 0).otherwise(2)), lambda i: F.struct((F.col("lon_u") + i).cast("double").alias("x"), F.col("lat_u").cast("double").alias("y"))).alias("points"))
     return point_rows(shapes_)
 
 

@@ -99,3 +99,18 @@ def test_dense_ids_follow_the_order(spark):
     df = spark.range(100).select((F.col("id") * 37 % 101).alias("k"))
     got = B.dense_ids(df, ["k"], "n", 5).orderBy("k").collect()
     assert [r["n"] for r in got] == list(range(5, 105))
+
+
+def test_queries_without_sql_read_all_roads_and_locations(spark):
+    from spanweave.plans.fixtures import Fixtures
+    from spanweave.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    fx = Fixtures(spark, sf)
+    all_roads = {r[0] for r in B.extract_lines(fx.road_vertices).select("road_id").distinct().collect()}
+    places = {r["loc_id"]: (r["lon_u"], r["lat_u"]) for r in fx.locations.collect()}
+    for name in ("substring_line", "wkb_roundtrip"):
+        assert {r["road_id"] for r in QUERIES[name](spark, sf).collect()} == all_roads
+    passed = sorted((r["loc_id"], r["x"], r["y"]) for r in QUERIES["geometry_gate"](spark, sf).collect())
+    assert passed == sorted((i, x + k, y) for i, (x, y) in places.items() for k in range(1 if i % 2 == 0 else 3))
+    assert {r["loc_id"] for r in QUERIES["snap_to_samples"](spark, sf).collect()} == set(places)
