@@ -25,11 +25,13 @@ _local_base: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where none is set (tests, local mode)."""
+    """The folder that all executors share; one of this machine only in local mode without a setting."""
     global _local_base
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base
+    if not (spark.conf.get("spark.master", None) or "").startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if _local_base is None:
         _local_base = tempfile.mkdtemp(prefix="spanweave-")
         atexit.register(__import__("shutil").rmtree, _local_base, True)
@@ -43,11 +45,24 @@ def _remove(spark: SparkSession, path: str) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+@contextlib.contextmanager
+def _dropped_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the jobs in here go with them: their result is a written table."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/spanweave/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _dropped_shuffles(spark):
+        df.write.parquet(path)
     atexit.register(_remove, spark, path)
     table = spark.read.schema(df.schema).parquet(path)
     table.scratch_path = path
@@ -61,6 +76,13 @@ def discard(*tables: DataFrame) -> None:
             _remove(t.sparkSession, path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for working columns that no column of df has, whatever those are called."""
+    taken = {c.lower() for c in df.columns}
+    tail = next(t for t in ("_" * k for k in range(1, len(taken) + 2)) if not any(n + t in taken for n in names))
+    return [n + tail for n in names]
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -151,13 +152,45 @@ def test_passages_are_found_and_cut(spark):
 def test_compact_windows_group_all_subsequences():
     """Every subsequence of at least the width lies in the one window whose place holds its minimum."""
     rng = np.random.default_rng(3)
-    values, width = rng.permutation(60).astype(np.uint64), 8
-    places, left, right = passages.compact_windows(values, width)
+    values, width = np.concatenate([rng.permutation(60), rng.integers(0, 9, 40), rng.permutation(5)]).astype(np.uint64) + np.uint64(1), 8
+    lo, hi = np.array([0, 60, 100]), np.array([60, 100, 105])
+    text, places, left, right = passages.compact_windows(values, lo, hi, width)
+    assert set(text.tolist()) == {0, 1}
     windows = dict(zip(places.tolist(), zip(left.tolist(), right.tolist(), strict=True), strict=True))
-    for a in range(60):
-        for b in range(a + width, 61):
-            place = a + int(values[a:b].argmin())
-            assert windows[place][0] <= a and b <= windows[place][1]
+    for begin, end in zip(lo.tolist(), hi.tolist(), strict=True):
+        for a in range(begin, end):
+            for b in range(a + width, end + 1):
+                place = a + int(values[a:b].argmin())
+                assert windows[place][0] <= a and b <= windows[place][1]
+                assert begin <= windows[place][0] and windows[place][1] <= end
+
+
+def edited(words, edits, rng):
+    """A copy with that many words changed, between words of its own."""
+    out = list(words)
+    for i in rng.sample(range(len(out)), edits):
+        out[i] = f"changed{rng.randrange(10**6)}"
+    return " ".join(f"own{rng.randrange(10**9)}" for _ in range(rng.randrange(20, 60))) + " " + " ".join(out) + " " + " ".join(f"own{rng.randrange(10**9)}" for _ in range(30))
+
+
+@pytest.mark.parametrize(("edits", "size"), [(1, 52), (1, 80), (2, 80), (3, 80), (3, 100)])
+def test_passages_against_all_pairs(spark, edits, size):
+    """Edited copies of one passage, far enough apart that no hub is near them all: of each pair of documents
+    that nearly share a passage, one must be cut there, and no pair may be left after cutting."""
+    rng = random.Random(edits * 1000 + size)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(size)]
+    rows = [(i, edited(words, edits, rng)) for i in range(60)] + [(100 + i, edited(words[: size // 2], 0, rng)) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    parsed = {i: passages.Passage(t) for i, t in rows}
+    true = [(a, b) for a in parsed for b in parsed if a < b and passages.shared_passages(parsed[a], parsed[b])]
+    cut = {r["doc_id"] for r in passages.near_duplicate_passages(docs).collect()}
+    missed = [p for p in true if not cut & set(p)]
+    assert true and len(missed) <= 0.02 * len(true)
+    after = [passages.Passage(r["text"]) for r in passages.cut_passages(docs).collect()]
+    left = sum(bool(passages.shared_passages(a, b)) for i, a in enumerate(after) for b in after[:i])
+    assert left <= 0.02 * len(true)
+    if size < 100:  # half of it is too short for a passage
+        assert not any(i >= 100 for i in cut)
 
 
 def test_fingerprints(spark):
