@@ -7,8 +7,8 @@
    keep them below the threshold are ruled out, all others are confirmed on the full shingle sets.
 3. A star can miss a link between two of its rays. So in every bucket that still spans several
    components, members outside the bucket's largest component meet all others with which they share
-   one of their rarest shingles, as many of them as a link could miss; what passes the same rules is
-   confirmed. Nothing is capped.
+   one of their rarest shingles, as many of them as a link could miss, and whose sizes are near enough
+   (the join's key holds both); what passes the same rules is confirmed. Nothing is capped.
 
 With 32 bands of 4 rows a pair at the threshold of 0.75 shares no bucket with odds of 5e-6, and much
 smaller ones above it.
@@ -16,6 +16,7 @@ smaller ones above it.
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 
 import numpy as np
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, discard, mix, text_chunks, written
+from .common import Words, discard, fresh, mix, text_chunks, written
 from .components import components
 
 BINS, BANDS = 128, 32
@@ -120,7 +121,8 @@ def near_duplicates(docs: DataFrame, with_key: bool = False) -> DataFrame:
 
     Null or wordless text: an empty set, linked with nothing (its own component). Fewer than five words:
     one shingle. Rows that repeat a doc_id are judged each by its text. A null doc_id stays null and
-    kept. Extra columns are ignored; an empty table gives an empty one."""
+    kept; a text that only such rows hold takes no part, so it connects no others. Extra columns are
+    ignored; an empty table gives an empty one."""
     features = written(docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key")).mapInArrow(_features, "doc_id bigint, text_key bigint, n_shingles bigint, cid bigint, bands array<bigint>"), "features")
     whole = written(features.where("n_shingles > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")), "classes")
     rows = whole.select("cid", F.explode("bands").alias("bucket"))
@@ -167,13 +169,16 @@ def near_duplicates(docs: DataFrame, with_key: bool = False) -> DataFrame:
     first = written(first.join(info.select("cid", "n_shingles", "root"), "cid"), "first")
     outside = first.join(near.where("root <> main").select("cid").distinct(), "cid", "left_semi")
     both = "(3 * (a.n_shingles + b.n_shingles) + 6) div 7"
-    rest = outside.alias("a").join(first.alias("b"), F.expr(f"a.m = b.m and a.root <> b.root and a.place + {both} <= a.n_shingles and b.place + {both} <= b.n_shingles and {_may_link()}"))
+    size = F.floor(F.log(F.col("n_shingles")) / math.log(100 / CLOSE))  # linked sets are at most one apart
+    outside = written(outside.withColumn("size", F.explode(F.array(size - 1, size, size + 1))), "outside")
+    first = written(first.withColumn("size", size), "sized")
+    rest = outside.alias("a").join(first.alias("b"), F.expr(f"a.m = b.m and a.size = b.size and a.root <> b.root and a.place + {both} <= a.n_shingles and b.place + {both} <= b.n_shingles and {_may_link()}"))
     rest = rest.select(F.least("a.cid", "b.cid").alias("a"), F.greatest("a.cid", "b.cid").alias("b")).distinct()
     last = _confirmed(rest, sets)
     if not last.isEmpty():
         former, label = label, components(links.union(last))
         discard(former)
-    discard(near, members, sets, typical, hubs, stars, spans, rarity, first)
+    discard(near, members, sets, typical, hubs, stars, spans, rarity, first, outside)
 
     rooted = classes.join(label, classes.cid == label.node, "left").select("cid", "rep", F.coalesce("root", "cid").alias("root"))
     smallest = written(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "smallest")
@@ -189,7 +194,8 @@ def near_duplicates(docs: DataFrame, with_key: bool = False) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """docs without the rows whose document is not kept; all columns stay. Rows that repeat both doc_id and
     text are one document and stay or go together; rows without doc_id stay."""
+    id_, key = fresh(docs, "id", "key")
     text_key = F.xxhash64(F.coalesce("text", F.lit("")))
     keyed = docs.select("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    gone = near_duplicates(keyed, with_key=True).where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    return docs.join(written(gone, "gone"), (docs["doc_id"] == F.col("_id")) & (text_key == F.col("_key")), "left_anti")
+    gone = near_duplicates(keyed, with_key=True).where("not kept").select(F.col("doc_id").alias(id_), F.col("text_key").alias(key)).distinct()
+    return docs.join(written(gone, "gone"), (docs["doc_id"] == F.col(id_)) & (text_key == F.col(key)), "left_anti")
