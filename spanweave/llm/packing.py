@@ -3,8 +3,10 @@
 Every task packs the documents of its own partition as they stream by; nothing is shuffled. An array
 holds, for each fill level, the open windows at that level. A document's remainder (after whole
 windows are cut off) goes to the level where the sum over levels of squared counts of partly filled
-windows grows least. At the end of a partition the windows still open are laid end to end and cut
-anew at the window size, and the last remainder into powers of two, which need no padding.
+windows grows least. At the end of a partition the windows still open keep what was placed in them, from
+the fullest on, and are filled up with pieces cut from the emptiest; the last one is cut into powers of
+two, which need no padding. Sequence ids are unique, not dense: a partition's number times 2 ** 40, plus a
+count.
 
 Null text: empty, one end id. Repeated rows are packed each. An empty table gives an empty one.
 Extra columns are ignored. A null doc_id is carried as null.
@@ -33,6 +35,7 @@ class SumOfSquares:
         self.counts = np.zeros(window + 1, np.int64)
         self.open: list[list[list]] = [[] for _ in range(window + 1)]
         self.out: list[tuple] = []
+        self.moved = 0  # ids that finish() takes out of the window chosen for them
 
     def emit(self, pieces: list) -> None:
         at = 0
@@ -70,9 +73,29 @@ class SumOfSquares:
             self.counts[h + size] += 1
 
     def finish(self) -> None:
-        rest = [p for h in range(self.window, 0, -1) for pieces in self.open[h] for p in pieces]
-        left = sum(len(p[2]) for p in rest)
+        windows = [pieces for h in range(self.window, 0, -1) for pieces in self.open[h]]
+        room = [self.window - h for h in range(self.window, 0, -1) for _ in self.open[h]]
         self.open, self.counts[:] = [[] for _ in self.open], 0
+        full, emptiest = 0, len(windows) - 1
+        while full < emptiest:
+            while room[full] and full < emptiest:
+                doc, start, ids, total = windows[emptiest].pop()
+                take, rest = ids[: room[full]], ids[room[full] :]
+                windows[full].append((doc, start, take, total))
+                self.moved += len(take)
+                room[full] -= len(take)
+                room[emptiest] += len(take)
+                if len(rest):
+                    windows[emptiest].append((doc, start + len(take), rest, total))
+                if not windows[emptiest]:
+                    emptiest -= 1
+            if not room[full]:
+                self.emit(windows[full])
+                full += 1
+        if full == emptiest:
+            self._cut(windows[full], self.window - room[full])
+
+    def _cut(self, rest: list, left: int) -> None:
         pieces, room = [], self._size(left)
         for doc, start, ids, total in rest:
             while len(ids):
