@@ -7,8 +7,9 @@ its own pseudo-random order (optimal densification). The fingerprint packs the l
 bin into 128 hexadecimal digits; likeness corrects the share of equal digits for chance agreement.
 
 Texts without words have the empty fingerprint: like each other (1), unlike all others (0). Null text
-counts as empty. Order is by doc_id (null first), then text; the row behind the last is the first, a
-lone row's next is itself. Repeated rows count each. Extra columns are ignored.
+counts as empty. Order is by doc_id (null first), among rows of one doc_id by the text's 64-bit hash; the
+row behind the last is the first, a lone row's next is itself. Repeated rows count each. Extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ from .common import written
 
 BINS, TOP_BITS, LOW_BITS = 128, 7, 4
 PROBES = 16
-BUCKET, GROUP = 128, 1024
+BUCKET = 128
+HOT_ROWS, MOST_HOT, SPLIT_ROWS = 4096, 100_000, 1024
 NO_ID = -(2**63)
 OUT = ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -88,15 +90,31 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def next_of(keys: DataFrame) -> DataFrame:
-    """keys (bucket: distinct bigint) -> (bucket, next_bucket), the last one's next being the first.
-    Only one row for each GROUP of possible keys is ever ordered in one task."""
-    group = F.floor(F.col("bucket") / GROUP).alias("g")
-    tops = keys.groupBy(group).agg(F.min("bucket").alias("lo"))
-    ends = tops.select("g", F.coalesce(F.lead("lo").over(Window.orderBy("g")), F.min("lo").over(Window.partitionBy())).alias("next_lo"))
-    inner = keys.select("bucket", group).withColumn("n", F.lead("bucket").over(Window.partitionBy("g").orderBy("bucket")))
+    """keys (bucket: distinct, orderable) -> (bucket, next_bucket), the last one's next being the first. Ranges
+    of keys are ordered in a task each; only one row a range ever meets in one task."""
+    placed = written(keys.repartitionByRange("bucket").select("bucket", F.spark_partition_id().alias("g")), "ranges")
+    tops = placed.groupBy("g").agg(F.min("bucket").alias("lo"))
+    ends = tops.select("g", F.coalesce(F.lead("lo").over(Window.orderBy("lo")), F.min("lo").over(Window.partitionBy())).alias("next_lo"))
+    inner = placed.withColumn("n", F.lead("bucket").over(Window.partitionBy("g").orderBy("bucket")))
     return inner.join(ends, "g").select("bucket", F.coalesce("n", "next_lo").alias("next_bucket"))
 
 
+def _bucketed(docs: DataFrame) -> DataFrame:
+    """docs (k, h, ...) with bucket, a struct in the order of (k, h): BUCKET neighbouring ids each. Where one id
+    has very many rows (a table of at most MOST_HOT buckets, as each holds that share of all rows), its
+    ids are buckets of their own and its rows are told apart by the high bits of h."""
+    group = F.floor(F.col("k") / F.lit(float(BUCKET))).cast("bigint")
+    per_id = docs.groupBy("k").agg(F.count("*").alias("n"))
+    per_group = written(per_id.groupBy(group.alias("g")).agg(F.sum("n").alias("rows"), F.max("n").alias("most")), "groups")
+    total = per_group.agg(F.sum("rows")).first()[0] or 0
+    hot = per_group.where(F.col("rows") > max(HOT_ROWS, total // MOST_HOT)).select(F.col("g").alias("hot"), F.ceil(F.log2(F.greatest(F.lit(1.0), F.col("most") / SPLIT_ROWS))).cast("int").alias("bits"))
+    bits = F.when(F.col("bits") > 0, F.expr("shiftright(h, 64 - bits)")).otherwise(F.lit(0).cast("bigint"))
+    split = F.struct(F.col("k").alias("id"), bits.alias("part"))
+    plain = F.struct((F.col("g") * BUCKET).cast("bigint").alias("id"), F.lit(0).cast("bigint").alias("part"))
+    joined = docs.withColumn("g", group).join(F.broadcast(hot), F.col("g") == F.col("hot"), "left")
+    return joined.withColumn("bucket", F.when(F.col("hot").isNotNull(), split).otherwise(plain)).drop("g", "hot", "bits")
+
+
 def _edited(n_chars: Column, text: Column, other: Column) -> Column:
     cut = F.floor(n_chars / 4).cast("int")
     return F.concat(F.substr(text, F.lit(1), (n_chars - cut).cast("int")), F.substr(other, F.lit(1), cut))
@@ -116,9 +134,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     Rows meet their next one in buckets of neighbouring ids, so texts are shuffled once. Only the first
     and last row of a bucket keep their texts for a second, small step across buckets."""
     order = F.coalesce(F.col("doc_id"), F.lit(NO_ID))
-    bucket = F.floor(order / F.lit(float(BUCKET))).cast("bigint")
-    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), order.alias("k"), bucket.alias("bucket")).withColumn("fingerprint", fingerprint(F.col("text")))
-    inside = Window.partitionBy("bucket").orderBy("k", "text")
+    text = F.coalesce("text", F.lit(""))
+    keyed = _bucketed(docs.select("doc_id", text.alias("text"), order.alias("k"), F.xxhash64(text).alias("h"))).withColumn("fingerprint", fingerprint(F.col("text")))
+    inside = Window.partitionBy("bucket").orderBy("k", "h", "text")
     led = keyed.withColumn("n", F.lead(F.struct("text", "fingerprint")).over(inside)).withColumn("nth", F.row_number().over(inside))
     n_chars = F.char_length("text").cast("bigint")
     edge = (F.col("nth") == 1) | F.col("n").isNull()
