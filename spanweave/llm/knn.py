@@ -3,9 +3,10 @@
 Vectors are grouped by their nearest pivot. Each group's size and largest distance to its pivot (a few
 numbers a group) bound the inner product of any query with any member: q.p - |q| r and q.p + |q| r. For
 each query the lower bounds and sizes, without the rows of the query's own id, give a score that its k-th
-result reaches at least; only groups whose upper bound reaches that get the query. Groups are dealt in blocks of bounded numbers of data and
-queries, solved by matrix products, and the block results merged. Blocks keep a group with a third of all
-rows from being one task.
+result reaches at least; only groups whose upper bound reaches that get the query, and only groups with queries take part. A group
+is dealt in blocks of bounded numbers of rows and parts of bounded numbers of queries, each block meeting
+each part in one matrix product, and the results merged. So a row travels once for each QUERY_BLOCK
+queries that its own group got, and a group with a third of all rows is many tasks.
 
 Components x become floor(256 * x). Vectors that are null, empty or hold null or non-finite components,
 and rows without id, take no part. Vectors of unequal length meet as if the shorter ended in zeros.
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 from .common import written
 
 SCALE = 256
-DATA_BLOCK, QUERY_BLOCK = 4096, 2048
-MOST_PIVOTS = 512
+DATA_BLOCK, QUERY_BLOCK, TILE = 4096, 8192, 1024
+MOST_PIVOTS = 4096
 RESULT = "query_id bigint, vec_id bigint, score bigint"
 
 
@@ -43,6 +44,17 @@ def _matrix(column: pa.Array | list, width: int) -> np.ndarray:
     return np.floor(SCALE * out)
 
 
+def deal(data: DataFrame, sent: DataFrame, sizes: dict[int, int], data_block: int = DATA_BLOCK, query_block: int = QUERY_BLOCK) -> tuple[DataFrame, DataFrame]:
+    """data (cell, vec_id, v) and sent (cell, query_id, v), each with block and part: every block of a cell's
+    rows meets every part of the queries sent to that cell. sizes: rows a cell."""
+    asked = [(r[0], -(-sizes[r[0]] // data_block), -(-r[1] // query_block)) for r in sent.groupBy("cell").count().collect()]  # a row a pivot
+    grid = F.broadcast(data.sparkSession.createDataFrame(asked, "cell int, blocks int, parts int"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rows = data.join(grid, "cell").select("cell", F.pmod(F.xxhash64("vec_id", "v"), "blocks").cast("int").alias("block"), every("parts").alias("part"), "vec_id", "v")
+    asking = sent.join(grid, "cell").select("cell", every("blocks").alias("block"), F.pmod(F.xxhash64("query_id"), "parts").cast("int").alias("part"), "query_id", "v")
+    return rows, asking
+
+
 def top_rows(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> pd.DataFrame:
     """For each query its k best rows, ties to the smaller id; exact also beyond 2 ** 53."""
     reach = np.abs(queries).max(initial=0) * np.abs(vectors).max(initial=0) * max(1, queries.shape[1])
@@ -80,60 +92,59 @@ def top_k(vectors: DataFrame, queries_where: str = "vec_id % 50 = 0", k: int = 5
     def assign(batches):
         for batch in batches:
             m = _matrix(batch.column(1), width)
-            near = np.maximum((m**2).sum(axis=1)[:, None] - 2 * m @ centres.T + squares, 0)
-            cell = near.argmin(axis=1)
+            tiles = (m[i : i + TILE] for i in range(0, len(m), TILE))
+            cell = np.concatenate([(squares - 2 * t @ centres.T).argmin(axis=1) for t in tiles]) if len(m) else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cell.astype(np.int32)), pa.array(np.linalg.norm(m - centres[cell], axis=1)), pa.array([x.tobytes() for x in m], pa.binary())], ["vec_id", "cell", "away", "v"])
 
     data = written(rows.mapInArrow(assign, "vec_id bigint, cell int, away double, v binary"), "cells")
     summary = {r[0]: (r[1], r[2]) for r in data.groupBy("cell").agg(F.count("*"), F.max("away")).collect()}  # a row a pivot
     queries = data.where(queries_where)
-    n_queries = queries.count()
     cells = np.array(sorted(summary))
     place = {int(c): i for i, c in enumerate(cells)}
     sizes = np.array([summary[c][0] for c in cells])
     radius = np.array([summary[c][1] for c in cells])
-    blocks = -(-sizes // DATA_BLOCK)
-    query_blocks = max(1, -(-n_queries // QUERY_BLOCK))
+
+    def reached(q: np.ndarray, home: list, owns: list) -> tuple[np.ndarray, np.ndarray]:
+        """(query, cell's place) of the groups that may hold one of a query's k best."""
+        middle, spread = q @ centres[cells].T, np.linalg.norm(q, axis=1)[:, None] * radius
+        slack = 1e-9 * (np.abs(middle) + spread) + 1e-6
+        low, high = middle - spread - slack, middle + spread + slack
+        order = np.argsort(-low, axis=1, kind="stable")
+        # Rows with the query's own id are no results: one in its cell, or those counted in `own`.
+        others = np.tile(sizes, (len(q), 1))
+        for i, (cell, own) in enumerate(zip(home, owns, strict=True)):
+            for c, copies in ((o["cell"], o["n"]) for o in own) if own else ((cell, 1),):
+                others[i, place[c]] -= copies
+        enough = (np.cumsum(np.take_along_axis(others, order, 1), axis=1) >= k).argmax(axis=1)
+        known = np.take_along_axis(low, np.take_along_axis(order, enough[:, None], 1), 1)
+        known[others.sum(axis=1) < k] = -np.inf
+        return np.nonzero(high >= known)
 
     def send(batches):
         for batch in batches:
-            q = np.frombuffer(b"".join(batch.column(1).to_pylist())).reshape(-1, width)
-            middle, spread = q @ centres[cells].T, np.linalg.norm(q, axis=1)[:, None] * radius
-            slack = 1e-9 * (np.abs(middle) + spread) + 1e-6
-            low, high = middle - spread - slack, middle + spread + slack
-            order = np.argsort(-low, axis=1, kind="stable")
-            # Rows with the query's own id are no results: one in its cell, or those counted in `own`.
-            others = np.tile(sizes, (len(q), 1))
-            for i, (cell, own) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                for c, copies in ((o["cell"], o["n"]) for o in own) if own else ((cell, 1),):
-                    others[i, place[c]] -= copies
-            enough = (np.cumsum(np.take_along_axis(others, order, 1), axis=1) >= k).argmax(axis=1)
-            known = np.take_along_axis(low, np.take_along_axis(order, enough[:, None], 1), 1)
-            known[others.sum(axis=1) < k] = -np.inf
-            row, at = np.nonzero(high >= known)
-            dealt = blocks[at]
-            row, cell = np.repeat(row, dealt), np.repeat(cells[at], dealt)
-            block = np.arange(len(row)) - np.repeat(np.cumsum(dealt) - dealt, dealt)
-            # ids and places only; the vectors join them behind the shuffle
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(cell.astype(np.int32)), pa.array(block.astype(np.int32)), batch.column(1).take(pa.array(row))], ["query_id", "cell", "block", "v"])
+            for i in range(0, batch.num_rows, TILE):
+                part = batch.slice(i, TILE)
+                q = np.frombuffer(b"".join(part.column(1).to_pylist())).reshape(-1, width)
+                row, at = reached(q, part.column(2).to_pylist(), part.column(3).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(cells[at].astype(np.int32)), part.column(1).take(pa.array(row))], ["query_id", "cell", "v"])
 
     asked = queries.select(F.col("vec_id").alias("of")).distinct()
     per_cell = data.groupBy("vec_id", "cell").agg(F.count("*").alias("n")).join(asked, F.col("vec_id") == F.col("of"), "left_semi")
     repeated = per_cell.groupBy(F.col("vec_id").alias("of")).agg(F.collect_list(F.struct("cell", "n")).alias("own"), F.sum("n").alias("rows")).where("rows > 1").select("of", "own")
     held = queries.join(written(repeated, "repeated"), F.col("vec_id") == F.col("of"), "left")
-    sent = held.select("vec_id", "v", "cell", "own").mapInArrow(send, "query_id bigint, cell int, block int, v binary")
-    sent = sent.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int"))
-    block_of = F.element_at(F.create_map(*[F.lit(int(x)) for c, b in zip(cells, blocks, strict=True) for x in (c, b)]), F.col("cell"))
-    dealt = data.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(3)), block_of).cast("int")).select("cell", "block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("part"), "vec_id", "v")
+    sent = held.select("vec_id", "v", "cell", "own").mapInArrow(send, "query_id bigint, cell int, v binary")
+    dealt, asking = deal(data, written(sent, "sent"), {int(c): int(n) for c, n in zip(cells, sizes, strict=True)})
 
     def solve(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
         matrix = lambda f: np.frombuffer(b"".join(f["v"])).reshape(-1, width)
-        return top_rows(left["vec_id"].to_numpy(), matrix(left), right["query_id"].to_numpy(), matrix(right), k).astype("int64")
+        ids, vectors, asked, q = left["vec_id"].to_numpy(), matrix(left), right["query_id"].to_numpy(), matrix(right)
+        tiles = [top_rows(ids, vectors, asked[i : i + TILE], q[i : i + TILE], k) for i in range(0, len(q), TILE)]
+        return pd.concat(tiles).astype("int64")
 
     keys = ["cell", "block", "part"]
-    found = dealt.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInPandas(solve, RESULT)
+    found = dealt.groupBy(*keys).cogroup(asking.groupBy(*keys)).applyInPandas(solve, RESULT)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -156,6 +156,15 @@ def test_top_k_of_an_id_with_many_rows(spark, tmp_path):
     assert len(got[got.query_id == 50]) == 5
 
 
+def test_rows_travel_only_to_queries_of_their_group(spark):
+    """Two groups far apart: each row is dealt once for every two queries sent to its own group."""
+    data = spark.createDataFrame([(i % 2, i, b"") for i in range(40)], "cell int, vec_id bigint, v binary")
+    sent = spark.createDataFrame([(0, q, b"") for q in range(5)], "cell int, query_id bigint, v binary")
+    rows, asking = knn.deal(data, sent, {0: 20, 1: 20}, data_block=8, query_block=2)
+    assert rows.count() == 20 * 3 and asking.count() == 5 * 3
+    assert {r["cell"] for r in rows.collect()} == {0}
+
+
 def test_top_k_beyond_doubles():
     ids, big = np.array([1, 2]), np.array([[2.0**40, 1.0], [2.0**40, 0.0]])
     got = knn.top_rows(ids, big, np.array([9]), np.array([[2.0**20, 1.0]]), 2)
