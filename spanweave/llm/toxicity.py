@@ -28,6 +28,7 @@ POSITIVES, UNLABELLED, SAMPLE_CHARS = 1500, 3000, 30_000
 FEATURES, LEAST_DF, LEAST_Z = 3000, 3, 3.0
 ROUNDS, RATE, DECAY = 400, 0.05, 2e-4
 THRESHOLD = 0.7
+SKETCH = 32
 
 
 @lru_cache(maxsize=1)
@@ -86,14 +87,19 @@ class Model:
 
 
 def _apart(texts: list[str]) -> list[str]:
-    """Without texts that begin or end as an earlier one does: copies would count as evidence many times."""
-    seen: set = set()
+    """Without near copies of earlier texts, which would count as evidence many times: those that share
+    three quarters of their SKETCH smallest gram hashes with one of them. A common head or foot alone is
+    no copy."""
+    holders: dict[int, list[int]] = {}
     out = []
     for t in texts:
-        keys = {(0, t[:80]), (1, t[-80:])}
-        if not keys & seen:
-            out.append(t)
-        seen |= keys
+        small = distinct_grams(t)[:SKETCH].tolist()
+        met = np.bincount([i for h in small for i in holders.get(h, ())], minlength=1)
+        if met.max() >= 0.75 * len(small):
+            continue
+        for h in small:
+            holders.setdefault(h, []).append(len(out))
+        out.append(t)
     return out
 
 
@@ -190,6 +196,17 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     return docs.select(kept).mapInArrow(run, f"{fields}, score double, predicted int")
 
 
+def drop_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows that are not predicted to be toxic, with all their columns, whatever those are called."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+
+    def run(batches):
+        for part, texts in text_chunks(batches, text):
+            yield part.filter(pa.array(model.scores(texts) < THRESHOLD))
+
+    return docs.mapInArrow(run, fields)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row. A null doc_id is never held out."""
     scored = score(docs.select("doc_id", "text"), train(docs, labels))
