@@ -18,6 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import fresh
 from .fingerprints import let
 
 # How secrets are named and how they begin.
@@ -212,7 +213,8 @@ def findings(docs: DataFrame, forest: Forest | None = None) -> DataFrame:
 
 
 def redact(docs: DataFrame, forest: Forest | None = None, text: str = "text") -> DataFrame:
-    """docs with each secret in the text replaced by MASK; every other column and row is kept."""
+    """docs with each secret in the text replaced by MASK; n_chars, where there, follows, every other column
+    and all rows are kept."""
     forest = forest or train(docs.sparkSession)
     between, found = _cut(F.col(text))
 
@@ -226,4 +228,7 @@ def redact(docs: DataFrame, forest: Forest | None = None, text: str = "text") ->
         return F.concat(F.array_join(F.transform(hits, one), ""), F.element_at(gaps, -1))
 
     changed = let(F.struct(between.alias("gaps"), found.alias("hits")), lambda p: F.when(F.size(p.getField("hits")) > 0, masked(p)).otherwise(F.array_join(p.getField("gaps"), "")))
-    return docs.withColumn(text, F.when(F.col(text).rlike(POSSIBLE), changed).otherwise(F.col(text)))
+    (after,) = fresh(docs, "after")
+    out = docs.withColumn(after, F.when(F.col(text).rlike(POSSIBLE), changed).otherwise(F.col(text)))
+    size = {"n_chars": F.when(F.col(after) == F.col(text), F.col("n_chars")).otherwise(F.char_length(after)).cast(dict(docs.dtypes)["n_chars"])} if "n_chars" in docs.columns else {}
+    return out.select(*[F.col(after).alias(c) if c == text else size[c].alias(c) if c in size else F.col(f"`{c}`") for c in docs.columns])
