@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from spanweave.llm import components, fingerprints, induced, neardup, passages, substrings
 
@@ -211,3 +212,60 @@ def test_fingerprints(spark):
     assert fingerprints.fingerprints(tables.empty(spark)).count() == 0
     lone = fingerprints.fingerprints(tables.documents(spark, rows[:1])).first()
     assert lone["near_next"] == 1.0
+
+
+def test_fingerprints_of_sparse_ids_and_one_very_frequent_id(spark, monkeypatch):
+    """Ids far apart, and two thirds of the rows under one id and under none: each row meets the next one."""
+    monkeypatch.setattr(fingerprints, "HOT_ROWS", 100)
+    monkeypatch.setattr(fingerprints, "SPLIT_ROWS", 16)
+    rng = random.Random(5)
+    rows = [(rng.randrange(-(2**62), 2**62), f"text {i} " + "word " * (i % 9)) for i in range(300)]
+    rows += [(77, f"many {i % 200} of them " + "x" * (i % 5)) for i in range(400)] + [(None, f"none {i}") for i in range(300)] + [(78, "behind"), (76, "ahead")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    order = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()
+    order.sort(key=lambda r: (-(2**63) if r[0] is None else r[0], r[2], r[1]))
+    want = []
+    for (doc, text, _), (_, other, _) in zip(order, order[1:] + order[:1], strict=True):
+        k = len(text) // 4
+        want.append((doc, hashlib.sha256((text[: len(text) - k] + other[:k]).encode()).hexdigest()))
+    got = fingerprints.fingerprints(docs).select("doc_id", "edited_sha256").collect()
+    assert Counter(map(tuple, got)) == Counter(want)
+
+
+@pytest.mark.parametrize(("size", "more"), [(3, 4), (6, 8), (9, 12), (12, 16)])
+def test_links_of_short_texts_at_the_threshold(spark, size, more):
+    """A text and the same with words added, exactly three quarters of the shingles shared: all are linked."""
+    rng = random.Random(size)
+    rows = []
+    for i in range(500):
+        words = [f"w{rng.randrange(10**7)}" for _ in range(more + 4)]
+        rows += [(2 * i, " ".join(words[: size + 4])), (2 * i + 1, " ".join(words))]
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert all(got[2 * i + 1] == got[2 * i] == 2 * i for i in range(500))
+
+
+CLASHES = "_id _key _first _spans _tid _text _after id_ key_ tid_ first_ spans_ after_ score predicted bucket text_key cid root".split()
+
+
+def test_columns_of_any_name_come_back_unchanged(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(*r[:5], *[f"{c}-{r[0]}" for c in CLASHES]) for r in tables.rows()], "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"{c} string" for c in CLASHES))
+    labels = spark.createDataFrame([(0, 1, 0)], "doc_id bigint, quality int, toxic int")
+    labels.write.mode("overwrite").parquet("/tmp/spanweave-clash/labels.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "/tmp/spanweave-clash")
+        assert out.columns == docs.columns
+        for r in out.collect():
+            assert all(r[c] == f"{c}-{r['doc_id']}" for c in CLASHES)
+            assert r["n_chars"] is None or r["text"] is None or r["doc_id"] == 13 or r["n_chars"] == len(r["text"])
+
+
+def test_no_machine_local_folder_on_a_cluster(spark, monkeypatch):
+    from spanweave.llm import common
+
+    class Far:
+        conf = type("Conf", (), {"get": staticmethod(lambda key, other=None: "spark://host:7077" if key == "spark.master" else other)})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Far)
