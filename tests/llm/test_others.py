@@ -1,4 +1,5 @@
 import re
+import time
 
 import numpy as np
 import pandas as pd
@@ -47,6 +48,39 @@ def test_left_out_elements_without_end_tags():
         assert html.main_text(f"<article>{source}<p>text</article>") in ("text", "k\ntext")
 
 
+BODY = "<h1>Title</h1><p>First paragraph, with commas, and enough text to be an article of its own.</p><p>Second paragraph, again, with text that goes on for a while here.</p>"
+BODY_TEXT = "\n".join(re.findall(">([^<]+)<", BODY))
+
+
+@pytest.mark.parametrize(
+    ("source", "more"),
+    [
+        (f'<div class="layout has-sidebar">{BODY}</div>', ""),
+        (f'<div class="no-sidebar">{BODY}</div>', ""),
+        (f'<div class="page sidebar-right">{BODY}</div>', ""),
+        (f'<form id="aspnetForm">{BODY}<input></form>', ""),
+        (f'<article>{BODY}<div class="share-price-analysis"><p>The price of a share, they say, went up.</p></div></article>', "The price of a share, they say, went up."),
+        (f'<article>{BODY}<div class="article-notice-text"><p>Notice that this text belongs here, too.</p></div></article>', "Notice that this text belongs here, too."),
+        (f'<article>{BODY}<div class="related-posts"><p>Some other story, with a teaser that has text.</p></div></article>', ""),
+        (f'<article>{BODY}<div class="share-buttons"><a href=x>Share</a></div><form><p>Your mail address, please, for our letters.</p></form></article>', ""),
+        (f"<body><header><h1>Site</h1></header><div class=post><header>{BODY[:14]}</header>{BODY[14:]}</div>", ""),
+        (f"<div class=wrap><section>{BODY}</section><section><p>The end.</p></section></div>", "The end."),
+        (f"<div><div class=c1><div>{BODY}</div></div><div class=c2><div><p>Cousin paragraph, with commas, and enough text to be an article of its own, surely.</p></div></div></div>", "Cousin paragraph, with commas, and enough text to be an article of its own, surely."),
+        (f"<article>{BODY}</article><article><p>Another article, with commas, and enough text to be an article of its own, surely, and more of it.</p></article>", "Another article, with commas, and enough text to be an article of its own, surely, and more of it."),
+        (f'<article>{BODY}</article><section class="comments"><article class="comment-body"><p>{"I think, as a reader, that this is long. " * 20}</p></article></section>', ""),
+    ],
+)
+def test_the_score_decides_and_names_only_cast_suspicion(source, more):
+    assert html.main_text(source) == BODY_TEXT + ("\n" + more if more else "")
+
+
+@pytest.mark.parametrize("source", ["<div>", "<div>x", "<a href=x><div>", "<div><p>", "<p><table><div>", "</x>", "<b>", "<nav><div>", "<li><ul>"])
+def test_deep_pages_take_time_in_proportion(source):
+    began = time.process_time()
+    assert html.main_text(source * 20_000 + "x" + "</p>" * 20_000).endswith("x") or "nav" in source
+    assert time.process_time() - began < 5
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="<>/apdivn b='\"&;!-", max_size=80))
 def test_any_markup_gives_text(source):
