@@ -261,23 +261,23 @@ def total_weight(edges: DataFrame) -> Column:
 
 
 def connect_forest(solution: DataFrame, edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    """Join the solution's components along cheapest paths, nearest to the largest one first; components
-    that the network does not connect stay apart."""
+    """Join the solution's components (and lone nodes) along cheapest paths; components that the network does
+    not connect stay apart.
+
+    One search from all components at once: each node learns its nearest one, the cheapest way over each border
+    between two regions stands for their distance, and a spanning forest over the components picks the ways,
+    which is as cheap as one over all distances between components."""
     now = written(solution.select("src", "dst", "weight"), "stitched")
-    extra = nodes_of(now) if nodes is None else nodes_of(now).union(nodes.select("node_id")).distinct()
-    while True:
-        names = written(connected_components(extra, now), "stitch_names")
-        main = names.groupBy("component").count().orderBy(F.desc("count"), "component").first()
-        if main is None:
-            return now
-        others = names.where(F.col("component") != main[0]).select("node_id")
-        if others.isEmpty():
-            return now
-        labels = voronoi_labels(edges, names.where(F.col("component") == main[0]).select("node_id"))
-        best = labels.join(others, "node_id").orderBy("dist", "node_id").first()
-        if best is None:
-            return now
-        tree = labels.select(F.lit(0).cast("bigint").alias("origin"), F.col("node_id").alias("node"), "parent")
-        steps = walk_back(tree, tree.where(F.col("node") == best["node_id"]).select("origin", "node"))
-        path = extract_subgraph(edges.select("src", "dst", "weight"), steps)
-        now = written(now.union(path).distinct(), "stitched")
+    ends = nodes_of(now) if nodes is None else nodes_of(now).union(nodes.select("node_id")).distinct()
+    names = written(connected_components(ends, now), "stitch_names")
+    labels = voronoi_labels(edges, names.select("node_id"))
+    of = names.select(F.col("node_id").alias("source"), "component")
+    near = written(labels.join(of, "source").select("node_id", "dist", F.col("component").alias("source"), "parent"), "regions")
+    ways = written(voronoi_boundaries(edges.select("src", "dst", "weight"), near), "ways")
+    chosen = minimum_spanning_forest(ways.select(F.col("t1").alias("src"), F.col("t2").alias("dst"), F.col("cost").alias("weight")))
+    taken = ways.join(chosen.select(F.col("src").alias("t1"), F.col("dst").alias("t2")), ["t1", "t2"], "left_semi")
+    tree = near.select(F.lit(0).cast("bigint").alias("origin"), F.col("node_id").alias("node"), "parent")
+    starts = taken.select(F.lit(0).cast("bigint").alias("origin"), F.explode(F.array("u", "v")).alias("node"))
+    steps = walk_back(tree, starts).select("src", "dst").union(taken.select("u", "v"))
+    path = extract_subgraph(edges.select("src", "dst", "weight"), steps)
+    return now.union(path).distinct()

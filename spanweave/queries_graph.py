@@ -328,8 +328,9 @@ def solve_genetic(fx):
 
 @query()
 def connect_forest(fx):
+    """The edges that leave all terminals, joined to one network."""
     edges = _edges(fx)
-    return G.connect_forest(edges.join(_few(fx).limit(2).withColumnRenamed("node_id", "src"), "src", "left_semi"), edges)
+    return G.connect_forest(edges.join(fx.terminals.select(F.col("node_id").alias("src")), "src", "left_semi"), edges)
 
 
 @query("""SELECT * FROM (VALUES ('mst_approximation', true), ('mst_steiner_points', false), ('shortest_path_heuristic', false),

@@ -1,4 +1,5 @@
 import itertools
+import random
 
 import numpy as np
 import pytest
@@ -103,6 +104,43 @@ def test_forest_is_stitched(spark):
     assert sorted(r["weight"] for r in joined.collect()) == [1, 1, 9]
 
 
+def test_forest_is_stitched_as_cheaply_as_a_spanning_tree_of_all_distances(spark):
+    rng = random.Random(4)
+    rows = {(a, b): rng.randrange(1, 60) for a in range(40) for b in rng.sample(range(40), 2) if a < b}
+    rows |= {(100, 101): 5, (101, 102): 3}  # a part of its own
+    edges = [(a, b, w) for (a, b), w in rows.items()]
+    parts = [e for e in edges if e[0] % 9 == 0] + [(100, 101, 5)]
+    got = {tuple(r) for r in G.connect_forest(frame(spark, parts), frame(spark, edges)).select("src", "dst", "weight").collect()}
+    assert set(parts) <= got <= set(edges)
+
+    def roots(some, nodes):
+        root = {n: n for n in nodes}
+        find = lambda n: n if root[n] == n else find(root[n])
+        for a, b, *_ in some:
+            root[find(a)] = find(b)
+        return {n: find(n) for n in nodes}
+
+    ends = {n for e in parts for n in e[:2]}
+    whole, before = roots(edges, {n for e in edges for n in e[:2]}), roots(parts, ends)
+    after = roots(got, {n for e in got for n in e[:2]})
+    assert all((after[a] == after[b]) == (whole[a] == whole[b]) for a in ends for b in ends)
+    far = {(a, b): w for (a, b), w in rows.items()} | {(b, a): w for (a, b), w in rows.items()}
+    names = sorted(whole)
+    for k in names:
+        for a in names:
+            for b in names:
+                if (a, k) in far and (k, b) in far:
+                    far[a, b] = min(far.get((a, b), 10**9), far[a, k] + far[k, b])
+    between = sorted((d, before[a], before[b]) for (a, b), d in far.items() if a in ends and b in ends and before[a] != before[b])
+    joined, cost = {n: n for n in before.values()}, 0
+    find = lambda n: n if joined[n] == n else find(joined[n])
+    for d, a, b in between:
+        if find(a) != find(b):
+            joined[find(a)] = find(b)
+            cost += d
+    assert sum(w for *_, w in got - set(parts)) <= cost
+
+
 def test_registry_and_terminal_checks(spark):
     with pytest.raises(ValueError, match="pruned_dijkstra"):
         S.get("nothing")
