@@ -18,6 +18,7 @@ from ..plans.store import written
 
 BLOCK = 1 << 16
 NO_LIMIT = (1 << 62) - 1
+ORIGINS = 16  # searches that share one copy of a block's edges
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
@@ -87,20 +88,22 @@ def _settle(edges: pd.DataFrame, labels: pd.DataFrame, limit: int) -> pd.DataFra
 def relax(edges: DataFrame, seeds: DataFrame, limit: int = NO_LIMIT, block: int = BLOCK) -> DataFrame:
     """(origin, node, dist, source, parent) of every node within `limit` of a seed of its origin; seeds: origin,
     node, dist. Each origin is a search of its own; source is the seed that a node is nearest to, parent
-    the node before it (itself for seeds). Origins spread over tasks with their blocks."""
+    the node before it (itself for seeds). A block's edges travel once for each bucket of about ORIGINS
+    origins that are busy there, and buckets spread over tasks."""
     adj = written(adjacency(edges).withColumn("block", F.floor(F.col("a") / block)), "adjacency")
     schema = "origin bigint, node bigint, dist bigint, source bigint, parent bigint"
     start = seeds.select("origin", "node", F.col("dist").cast("bigint").alias("dist"), F.col("node").alias("source"), F.col("node").alias("parent"))
     start = start.groupBy("origin", "node").agg(F.min(F.struct("dist", "source", "parent")).alias("k")).select("origin", "node", "k.*")
     labels = written(start.withColumn("fresh", F.lit(True)), "labels")
+    buckets = labels.select("origin").distinct().count() // ORIGINS + 1
     while True:
-        here = labels.withColumn("block", F.floor(F.col("node") / block))
-        busy = here.where("fresh").select("block", "origin").distinct()
-        held = here.join(busy, ["block", "origin"], "left_semi")
+        here = labels.withColumn("block", F.floor(F.col("node") / block)).withColumn("bucket", F.pmod(F.xxhash64("origin"), F.lit(buckets)))
+        busy = here.where("fresh").select("block", "bucket", "origin").distinct()
+        held = here.join(busy.select("block", "origin"), ["block", "origin"], "left_semi")
         # Named anew, or the two sides of the cogroup could not be told apart.
-        blocks = adj.join(busy.select("block", F.col("origin").alias("search")), "block").withColumnRenamed("search", "origin")
-        blocks = blocks.select(F.col("block").alias("block"), F.col("origin").alias("origin"), "a", "b", "w")
-        moved = blocks.groupBy("block", "origin").cogroup(held.groupBy("block", "origin")).applyInPandas(lambda e, k: _settle(e, k, limit), schema)
+        blocks = adj.join(busy.select("block", F.col("bucket").alias("search")).distinct(), "block").withColumnRenamed("search", "bucket")
+        blocks = blocks.select(F.col("block").alias("block"), F.col("bucket").alias("bucket"), "a", "b", "w")
+        moved = blocks.groupBy("block", "bucket").cogroup(held.groupBy("block", "bucket")).applyInPandas(lambda e, k: _settle(e, k, limit), schema)
         inner = moved.withColumn("mine", F.lit(1)).unionByName(labels.select("origin", "node", "dist", "source", "parent").withColumn("mine", F.lit(0)))
         key = F.struct("dist", "source", "parent")
         merged = inner.groupBy("origin", "node").agg(F.min(key).alias("k"), F.min(F.when(F.col("mine") == 0, key)).alias("was"))
@@ -156,6 +159,22 @@ def hubs(edges: DataFrame, labels: DataFrame, least: int = 3, most: int = 50) ->
     return ends.groupBy("node_id").agg(F.count("*").alias("hits")).where(F.col("hits") >= least).orderBy(F.desc("hits"), "node_id").limit(most)
 
 
+def _roots(up: DataFrame) -> DataFrame:
+    """(node_id, component) of a table (node_id, up) in which every component points at the one its cheapest
+    edge leads to. Keys are distinct, so the only cycles are two that point at each other: the smaller
+    becomes the root, and pointers jump there."""
+    back = up.select(F.col("node_id").alias("up"), F.col("up").alias("upper"))
+    root = (F.col("upper") == F.col("node_id")) & (F.col("node_id") < F.col("up"))
+    names = written(up.join(back, "up").select("node_id", F.when(root, F.col("node_id")).otherwise(F.col("up")).alias("component")), "roots")
+    while True:
+        jump = names.select(F.col("node_id").alias("component"), F.col("component").alias("further"))
+        once = names.join(jump, "component").select("node_id", F.col("component").alias("was"), F.col("further").alias("component"))
+        twice = written(once.join(jump, "component").select("node_id", "was", F.col("further").alias("component")), "roots")
+        names = twice.select("node_id", "component")
+        if twice.where("component <> was").isEmpty():
+            return names
+
+
 def minimum_spanning_forest(edges: DataFrame) -> DataFrame:
     """The edges (src, dst, weight) of the forest: each round every component takes its cheapest edge out
     (ties by ends), and components that meet become one."""
@@ -168,8 +187,7 @@ def minimum_spanning_forest(edges: DataFrame) -> DataFrame:
         best = written(outs.groupBy("c").agg(F.min(F.struct(F.col("k"), F.col("o"))).alias("m")).select("c", F.col("m.o").alias("o"), "m.k.*"), "cheapest")
         picked = best.select("src", "dst", "weight").distinct()
         chosen = picked if chosen is None else chosen.unionAll(picked)
-        joined = best.select(F.col("c").alias("src"), F.col("o").alias("dst"))
-        names = connected_components(joined.select(F.col("src").alias("node_id")).unionAll(joined.select("dst")).distinct(), joined)
+        names = _roots(best.select(F.col("c").alias("node_id"), F.col("o").alias("up")))
         name = lambda c: names.select(F.col("node_id").alias(c), F.col("component").alias(f"new_{c}"))
         left = left.join(name("c1"), "c1").join(name("c2"), "c2").where("new_c1 <> new_c2")
         # Of parallel edges between two components only the cheapest can still be chosen.

@@ -188,7 +188,7 @@ def endpoint_graph(fx):
 
 #: Jittered roads touch at shared vertices only.
 TOUCH = """
-tv AS (SELECT DISTINCT road_id, lon_u, lat_u FROM fx_road_vertices_j WHERE road_id % 40 = 0),
+tv AS (SELECT DISTINCT road_id, lon_u, lat_u FROM fx_road_vertices_j),
 th AS (SELECT lon_u, lat_u, min(road_id) AS head FROM tv GROUP BY lon_u, lat_u),
 tl AS (SELECT DISTINCT road_id AS a, head AS b FROM tv JOIN th USING (lon_u, lat_u) WHERE road_id <> head),
 tb AS (SELECT a, b FROM tl UNION SELECT b, a FROM tl),
@@ -201,12 +201,12 @@ rc(road_id, label) USING KEY (road_id) AS (
 
 @query("SELECT road_id, label AS component FROM rc", TOUCH)
 def touching_roads(fx):
-    return B.road_components(fx.road_vertices_j.where("road_id % 40 = 0"))
+    return B.road_components(fx.road_vertices_j)
 
 
 @query("SELECT road_id FROM rc WHERE label IN (SELECT label FROM (SELECT label, count(*) AS n FROM rc GROUP BY label) WHERE n = (SELECT max(n) FROM (SELECT count(*) AS n FROM rc GROUP BY label)))", TOUCH)
 def main_component_roads(fx):
-    return B.main_component_roads(fx.road_vertices_j.where("road_id % 40 = 0"))
+    return B.main_component_roads(fx.road_vertices_j)
 
 
 # Spatial index
@@ -317,9 +317,9 @@ _CROSS = f"pow(l.lon_u - ({_T.replace('lon_u', 'l.lon_u').replace('lat_u', 'l.la
 CHORDS = "ch AS (SELECT e.src, e.dst, a.lon_u AS x1, a.lat_u AS y1, b.lon_u AS x2, b.lat_u AS y2 FROM fx_edges e JOIN fx_nodes a ON a.node_id = e.src JOIN fx_nodes b ON b.node_id = e.dst)"
 
 
-@query(f"SELECT DISTINCT ch.src, ch.dst FROM ch JOIN (SELECT * FROM fx_locations WHERE loc_id % 50 = 0) l ON {_CROSS} <= 1000000", CHORDS)
+@query(f"SELECT DISTINCT ch.src, ch.dst FROM ch JOIN fx_locations l ON {_CROSS} <= 1000000", CHORDS)
 def edges_near_points(fx):
-    return X.near_segments(_points(fx.locations.where("loc_id % 50 = 0"), "loc_id"), _segments(fx), 1000).select("src", "dst").distinct()
+    return X.near_segments(_points(fx.locations, "loc_id"), _segments(fx), 1000).select("src", "dst").distinct()
 
 
 @query(f"SELECT l.loc_id FROM fx_locations l WHERE EXISTS (SELECT 1 FROM ch WHERE ch.src % 3 = 0 AND {_CROSS} <= 10000)", CHORDS)
@@ -387,8 +387,8 @@ def points_in_polygon_join(fx):
 
 @query()
 def nodes_in_hull(fx):
-    """Nodes in the convex hull of the first forty locations, or within 500 units of it."""
-    corners = X.convex_hull(_points(fx.locations.where("loc_id < 40"), "loc_id")).orderBy("pos").collect()  # corners only
+    """Nodes in the convex hull of the locations, or within 500 units of it."""
+    corners = X.convex_hull(_points(fx.locations, "loc_id")).orderBy("pos").collect()  # corners only
     ring = [(c["x"], c["y"]) for c in corners]
     from .plans.store import written
 
@@ -426,12 +426,12 @@ def line_bbox(fx):
 @query(
     """SELECT road_id, CAST(floor(k.d * 1000 + 0.5) AS BIGINT) AS d2_x1000, CAST(floor(k.a * 1000 + 0.5) AS BIGINT) AS along_x1000 FROM (SELECT road_id,
   min({'d': pow(3.25 - (x0 + t * (x - x0)), 2) + pow(2.5 - (y0 + t * (y - y0)), 2), 'i': pos, 'a': before + t * len}) AS k FROM (SELECT *,
-  CASE WHEN len = 0 THEN 0.0 ELSE least(1.0, greatest(0.0, ((3.25 - x0) * (x - x0) + (2.5 - y0) * (y - y0)) / (pow(x - x0, 2) + pow(y - y0, 2)))) END AS t FROM sc WHERE road_id % 10 = 0) GROUP BY road_id)""",
+  CASE WHEN len = 0 THEN 0.0 ELSE least(1.0, greatest(0.0, ((3.25 - x0) * (x - x0) + (2.5 - y0) * (y - y0)) / (pow(x - x0, 2) + pow(y - y0, 2)))) END AS t FROM sc) GROUP BY road_id)""",
     LINES,
 )
 def linear_ref(fx):
     n = geo.nearest_on_line(F.col("line"), F.lit(3.25), F.lit(2.5))
-    return _lines(fx).where("road_id % 10 = 0").select("road_id", n.alias("n")).select("road_id", _r(F.col("n.d2")).alias("d2_x1000"), _r(F.col("n.along")).alias("along_x1000"))
+    return _lines(fx).select("road_id", n.alias("n")).select("road_id", _r(F.col("n.d2")).alias("d2_x1000"), _r(F.col("n.along")).alias("along_x1000"))
 
 
 @query(
@@ -465,10 +465,10 @@ def split_edges(fx):
     return _lines(fx).select("road_id", F.explode(F.slice(places, F.lit(2), F.size(places) - 1)).alias("to")).groupBy("road_id").agg(F.count("*").alias("pieces"))
 
 
-@query("SELECT road_id, CAST(floor(sum(len) / 3) AS BIGINT) + 1 AS points FROM sl WHERE road_id % 10 = 1 GROUP BY road_id", LINES)
+@query("SELECT road_id, CAST(floor(sum(len) / 3) AS BIGINT) + 1 AS points FROM sl GROUP BY road_id", LINES)
 def densify_points(fx):
     line = F.col("line")
-    at = _lines(fx).where("road_id % 10 = 1").select("road_id", "line", F.explode(geo.sample_places(geo.line_length(line), 3.0)).alias("at"))
+    at = _lines(fx).select("road_id", "line", F.explode(geo.sample_places(geo.line_length(line), 3.0)).alias("at"))
     return at.select("road_id", geo.interpolate(line, F.col("at")).alias("p")).groupBy("road_id").agg(F.count("p").alias("points"))
 
 
@@ -523,9 +523,9 @@ def to_albers(fx):
     return fx.locations.select("loc_id", cm(x).alias("x_cm"), cm(y).alias("y_cm"))
 
 
-@query("SELECT road_id, string_agg(lon_u || ',' || lat_u || ',0', chr(10) ORDER BY pos) AS ring FROM fx_lines WHERE road_id % 10 = 0 GROUP BY road_id")
+@query("SELECT road_id, string_agg(lon_u || ',' || lat_u || ',0', chr(10) ORDER BY pos) AS ring FROM fx_lines GROUP BY road_id")
 def kml_ring(fx):
-    v = B.extract_lines(fx.road_vertices).where("road_id % 10 = 0").groupBy("road_id").agg(F.sort_array(F.collect_list(F.struct("pos", F.col("lon_u").alias("x"), F.col("lat_u").alias("y")))).alias("line"))
+    v = B.extract_lines(fx.road_vertices).groupBy("road_id").agg(F.sort_array(F.collect_list(F.struct("pos", F.col("lon_u").alias("x"), F.col("lat_u").alias("y")))).alias("line"))
     return v.select("road_id", geo.kml_ring(F.col("line")).alias("ring"))
 
 
@@ -534,10 +534,10 @@ def wkt_point(fx):
     return fx.locations.select("loc_id", geo.wkt_point(F.col("lon_u"), F.col("lat_u")).alias("wkt"))
 
 
-@query("SELECT road_id, pos, lon_u AS x, lat_u AS y FROM fx_lines WHERE road_id % 10 = 0")
+@query("SELECT road_id, pos, lon_u AS x, lat_u AS y FROM fx_lines")
 def parse_polyline(fx):
     """Vertices written as 'x y,x y' and read back."""
-    v = B.extract_lines(fx.road_vertices).where("road_id % 10 = 0").groupBy("road_id").agg(F.sort_array(F.collect_list(F.struct("pos", F.col("lon_u").alias("x"), F.col("lat_u").alias("y")))).alias("line"))
+    v = B.extract_lines(fx.road_vertices).groupBy("road_id").agg(F.sort_array(F.collect_list(F.struct("pos", F.col("lon_u").alias("x"), F.col("lat_u").alias("y")))).alias("line"))
     text = v.select("road_id", geo.polyline_text(F.col("line")).alias("t"))
     back = text.select("road_id", F.posexplode(geo.parse_polyline(F.col("t"))).alias("pos", "p"))
     return back.select("road_id", F.col("pos").cast("bigint").alias("pos"), F.col("p.x").cast("bigint").alias("x"), F.col("p.y").cast("bigint").alias("y"))
@@ -562,21 +562,36 @@ def drop_lines(fx):
     return fx.locations.select("loc_id", F.col("lon_u").alias("x1"), F.col("lat_u").alias("y1")).join(_split(fx)[2], "loc_id").join(n, "node_id").select("loc_id", "x1", "y1", "x2", "y2")
 
 
-@query()
+#: Every chord, and a lead of 1,300 by 1,100 units from every location; a cut is where another line is met inside.
+LEADS = CHORDS + """,
+nl AS (SELECT 'c' || src || '-' || dst AS line_id, x1, y1, x2, y2 FROM ch
+  UNION ALL SELECT 'l' || loc_id, lon_u, lat_u, lon_u + 1300, lat_u + 1100 FROM fx_locations),
+nx AS (SELECT p.line_id, CAST((q.x1 - p.x1) * (q.y2 - q.y1) - (q.y1 - p.y1) * (q.x2 - q.x1) AS DOUBLE) / ((p.x2 - p.x1) * (q.y2 - q.y1) - (p.y2 - p.y1) * (q.x2 - q.x1)) AS t,
+  CAST((q.x1 - p.x1) * (p.y2 - p.y1) - (q.y1 - p.y1) * (p.x2 - p.x1) AS DOUBLE) / ((p.x2 - p.x1) * (q.y2 - q.y1) - (p.y2 - p.y1) * (q.x2 - q.x1)) AS u
+  FROM nl p JOIN nl q ON p.line_id <> q.line_id AND (p.x2 - p.x1) * (q.y2 - q.y1) <> (p.y2 - p.y1) * (q.x2 - q.x1)
+    AND least(p.x1, p.x2) <= greatest(q.x1, q.x2) AND least(q.x1, q.x2) <= greatest(p.x1, p.x2)),
+nc AS (SELECT line_id, count(DISTINCT round(t, 9)) AS n FROM nx WHERE t > 0 AND t < 1 AND u BETWEEN 0 AND 1 GROUP BY line_id)
+"""
+
+
+@query("SELECT nl.line_id, coalesce(n, 0) + 1 AS pieces FROM nl LEFT JOIN nc ON nc.line_id = nl.line_id", LEADS)
 def node_lines(fx):
-    """Lines of two vertices cut wherever they cross another: (road_id, pieces)."""
-    v = B.extract_lines(fx.road_vertices).where("road_id % 200 = 0 and pos <= 1")
-    s = v.groupBy("road_id").agg(F.min_by(F.struct("lon_u", "lat_u"), "pos").alias("a"), F.max_by(F.struct("lon_u", "lat_u"), "pos").alias("b"))
-    s = s.select("road_id", F.col("a.lon_u").alias("x1"), F.col("a.lat_u").alias("y1"), F.col("b.lon_u").alias("x2"), F.col("b.lat_u").alias("y2"))
-    cells = X.segment_cells(s, 8000, 0)
+    """Lines of two vertices cut wherever they cross another: (line_id, pieces)."""
+    s = _segments(fx).select(F.concat(F.lit("c"), "src", F.lit("-"), "dst").alias("line_id"), "x1", "y1", "x2", "y2")
+    x, y = F.col("lon_u"), F.col("lat_u")
+    s = s.union(fx.locations.select(F.concat(F.lit("l"), "loc_id"), x, y, x + 1300, y + 1100))
+    cells = X.segment_cells(s, 2000, 0)
     one, two = cells.alias("p"), cells.alias("q")
-    met = one.join(two, (F.col("p.cx") == F.col("q.cx")) & (F.col("p.cy") == F.col("q.cy")) & (F.col("p.road_id") != F.col("q.road_id")))
+    # A pair that meets in several cells is taken in the first cell of the boxes' overlap only.
+    box = lambda s, c, side: X.cell(F.least(f"{s}.{c}1", f"{s}.{c}2"), side)
+    own = (F.col("p.cx") == F.greatest(box("p", "x", 2000), box("q", "x", 2000))) & (F.col("p.cy") == F.greatest(box("p", "y", 2000), box("q", "y", 2000)))
+    met = one.join(two, own & (F.col("p.cx") == F.col("q.cx")) & (F.col("p.cy") == F.col("q.cy")) & (F.col("p.line_id") != F.col("q.line_id")))
     d = (F.col("p.x2") - F.col("p.x1")) * (F.col("q.y2") - F.col("q.y1")) - (F.col("p.y2") - F.col("p.y1")) * (F.col("q.x2") - F.col("q.x1"))
     t = ((F.col("q.x1") - F.col("p.x1")) * (F.col("q.y2") - F.col("q.y1")) - (F.col("q.y1") - F.col("p.y1")) * (F.col("q.x2") - F.col("q.x1"))) / d
     u = ((F.col("q.x1") - F.col("p.x1")) * (F.col("p.y2") - F.col("p.y1")) - (F.col("q.y1") - F.col("p.y1")) * (F.col("p.x2") - F.col("p.x1"))) / d
-    cuts = met.where(d != 0).select(F.col("p.road_id").alias("road_id"), t.alias("t"), u.alias("u")).where("t > 0 and t < 1 and u between 0 and 1")
-    n = cuts.select("road_id", F.round("t", 9).alias("t")).distinct().groupBy("road_id").agg(F.count("*").alias("n"))
-    return s.select("road_id").join(n, "road_id", "left").select("road_id", (F.coalesce("n", F.lit(0)) + 1).alias("pieces"))
+    cuts = met.where(d != 0).select(F.col("p.line_id").alias("line_id"), t.alias("t"), u.alias("u")).where("t > 0 and t < 1 and u between 0 and 1")
+    n = cuts.select("line_id", F.round("t", 9).alias("t")).distinct().groupBy("line_id").agg(F.count("*").alias("n"))
+    return s.select("line_id").join(n, "line_id", "left").select("line_id", (F.coalesce("n", F.lit(0)) + 1).alias("pieces"))
 
 
 @query()

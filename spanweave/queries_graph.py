@@ -29,11 +29,6 @@ def _edges(fx: Fixtures) -> DataFrame:
     return fx.edges.withColumnRenamed("w_mm", "weight")
 
 
-def _few(fx: Fixtures) -> DataFrame:
-    """The four smallest terminals: pairwise searches stay small at every scale."""
-    return fx.terminals.orderBy("node_id").limit(4)
-
-
 #: Least distance and, among equals, least source for each node; parents are the least fitting neighbour.
 VORONOI = """
 vor(node, dist, source) USING KEY (node) AS (
@@ -50,11 +45,10 @@ bor AS (SELECT least(a.source, b.source) AS t1, greatest(a.source, b.source) AS
     min({'c': a.dist + e.w_mm + b.dist, 'u': least(e.src, e.dst), 'v': greatest(e.src, e.dst)}) AS k
   FROM fx_edges e JOIN vor a ON a.node = e.src JOIN vor b ON b.node = e.dst WHERE a.source <> b.source GROUP BY 1, 2)
 """
-#: Distances from each of the four smallest terminals.
-FEW = """
-few AS (SELECT node_id FROM fx_terminals ORDER BY node_id LIMIT 4),
+#: Distances from each terminal.
+CLOSURE = """
 far(origin, node, dist) USING KEY (origin, node) AS (
-  SELECT node_id, node_id, CAST(0 AS BIGINT) FROM few
+  SELECT node_id, node_id, CAST(0 AS BIGINT) FROM fx_terminals
   UNION
   SELECT x.origin, x.node, x.d FROM (
     SELECT v.origin, e.b AS node, min(v.dist + e.w) AS d FROM far v JOIN fx_adj e ON e.a = v.node GROUP BY v.origin, e.b) x
@@ -64,15 +58,15 @@ farp AS (SELECT f.origin, f.node, f.dist, coalesce(p.parent, f.node) AS parent F
   SELECT a.origin, e.b AS node, min(e.a) AS parent FROM fx_adj e JOIN far a ON a.node = e.a
   JOIN far b ON b.node = e.b AND b.origin = a.origin WHERE a.dist + e.w = b.dist GROUP BY a.origin, e.b) p
   ON p.origin = f.origin AND p.node = f.node),
-clo AS (SELECT origin AS src, node AS dst, dist AS weight FROM far WHERE node IN (SELECT node_id FROM few) AND origin < node)
+clo AS (SELECT origin AS src, node AS dst, dist AS weight FROM far WHERE node IN (SELECT node_id FROM fx_terminals) AND origin < node)
 """
-#: Prim's tree over the four terminals' closure, its paths, and those without dangling ends.
-FEW_TREE = (
-    FEW
+#: Prim's tree over the terminals' closure, its paths, and those without dangling ends.
+CLOSURE_TREE = (
+    CLOSURE
     + """,
 cadj AS (SELECT src AS a, dst AS b, weight AS w FROM clo UNION ALL SELECT dst, src, weight FROM clo),
 prim(node, other, w) USING KEY (node) AS (
-  SELECT (SELECT min(node_id) FROM few), CAST(NULL AS BIGINT), CAST(0 AS BIGINT)
+  SELECT (SELECT min(node_id) FROM fx_terminals), CAST(NULL AS BIGINT), CAST(0 AS BIGINT)
   UNION
   SELECT st.b, st.a, st.w FROM (SELECT min({'w': e.w, 'a': e.a, 'b': e.b}) AS st FROM cadj e, prim p0
     WHERE e.a IN (SELECT node FROM recurring.prim) AND e.b NOT IN (SELECT node FROM recurring.prim)) WHERE st IS NOT NULL),
@@ -140,7 +134,7 @@ def component_terminals(fx):
     return G.connected_components(fx.nodes, _thin(fx)).join(fx.terminals, "node_id").groupBy("component").agg(F.count("*").alias("n_terminals"))
 
 
-@query("SELECT node AS node_id, dist, parent FROM farp WHERE origin = (SELECT min(node_id) FROM few)", FEW)
+@query("SELECT node AS node_id, dist, parent FROM farp WHERE origin = (SELECT min(node_id) FROM fx_terminals)", CLOSURE)
 def sssp(fx):
     first = fx.terminals.agg(F.min("node_id")).first()[0]
     return G.sssp(_edges(fx), first)
@@ -149,16 +143,16 @@ def sssp(fx):
 @query(
     """SELECT e.src, e.dst, e.w_mm AS weight FROM fx_edges e JOIN (SELECT DISTINCT least(f.node, f.parent) AS src, greatest(f.node, f.parent) AS dst
   FROM way w JOIN farp f ON f.origin = w.origin AND f.node = w.node WHERE f.node <> f.parent) s ON s.src = e.src AND s.dst = e.dst""",
-    FEW + ", way(origin, node) AS (SELECT min(node_id), max(node_id) FROM few UNION SELECT f.origin, f.parent FROM way w JOIN farp f ON f.origin = w.origin AND f.node = w.node)",
+    CLOSURE + ", way(origin, node) AS (SELECT min(node_id), max(node_id) FROM fx_terminals UNION SELECT f.origin, f.parent FROM way w JOIN farp f ON f.origin = w.origin AND f.node = w.node)",
 )
 def shortest_path_pair(fx):
-    ends = _few(fx).agg(F.min("node_id"), F.max("node_id")).first()
+    ends = fx.terminals.agg(F.min("node_id"), F.max("node_id")).first()
     return G.shortest_path(_edges(fx), ends[0], ends[1])
 
 
-@query("SELECT node AS node_id, count(*) AS reachable, CAST(sum(dist) AS BIGINT) AS total FROM far WHERE dist <= 2000000 GROUP BY node", FEW)
+@query("SELECT node AS node_id, count(*) AS reachable, CAST(sum(dist) AS BIGINT) AS total FROM far WHERE dist <= 2000000 GROUP BY node", CLOSURE)
 def reach_within(fx):
-    near = G.distances_from(_edges(fx), _few(fx), 2_000_000)
+    near = G.distances_from(_edges(fx), fx.terminals, 2_000_000)
     return near.groupBy(F.col("node").alias("node_id")).agg(F.count("*").alias("reachable"), F.sum("dist").alias("total"))
 
 
@@ -195,67 +189,66 @@ def mst_edges(fx):
     return G.minimum_spanning_forest(_edges(fx))
 
 
-@query("SELECT src, dst, weight FROM clo", FEW)
+@query("SELECT src, dst, weight FROM clo", CLOSURE)
 def metric_closure(fx):
-    return G.metric_closure(_edges(fx), _few(fx))
+    return G.metric_closure(_edges(fx), fx.terminals)
 
 
-@query("SELECT src, dst FROM steps", FEW_TREE)
+@query("SELECT src, dst FROM steps", CLOSURE_TREE)
 def path_edges(fx):
-    edges, few = _edges(fx), _few(fx)
-    far = G.distances_from(edges, few)
-    tree = G.minimum_spanning_forest(G.metric_closure(edges, few))
+    edges = _edges(fx)
+    far = G.distances_from(edges, fx.terminals)
+    tree = G.minimum_spanning_forest(G.metric_closure(edges, fx.terminals))
     return G.walk_back(far, tree.select(F.col("src").alias("origin"), F.col("dst").alias("node"))).select("src", "dst").distinct()
 
 
-@query("SELECT e.src, e.dst, e.w_mm AS weight FROM fx_edges e JOIN steps s ON s.src = e.src AND s.dst = e.dst", FEW_TREE)
+@query("SELECT e.src, e.dst, e.w_mm AS weight FROM fx_edges e JOIN steps s ON s.src = e.src AND s.dst = e.dst", CLOSURE_TREE)
 def extract_subgraph(fx):
     edges = _edges(fx)
     return G.extract_subgraph(edges, path_edges(fx)).select("src", "dst", "weight")
 
 
-@query("SELECT e.src, e.dst, e.w_mm AS weight FROM fx_edges e JOIN steps s ON s.src = e.src AND s.dst = e.dst", FEW_TREE)
+@query("SELECT e.src, e.dst, e.w_mm AS weight FROM fx_edges e JOIN steps s ON s.src = e.src AND s.dst = e.dst", CLOSURE_TREE)
 def solve_mst(fx):
-    return S.mst_approximation(_edges(fx), _few(fx)).edges
+    return S.mst_approximation(_edges(fx), fx.terminals).edges
 
 
 @query(
     """SELECT s.node_id, d.degree, s.reachable, s.total FROM (SELECT node AS node_id, count(*) AS reachable, CAST(sum(dist) AS BIGINT) AS total FROM far
-  WHERE dist <= 10000000 AND node NOT IN (SELECT node_id FROM few) GROUP BY node HAVING count(*) >= 2) s
+  WHERE dist <= 10000000 AND node NOT IN (SELECT node_id FROM fx_terminals) GROUP BY node HAVING count(*) >= 2) s
   JOIN (SELECT a AS node_id, count(*) AS degree FROM fx_adj GROUP BY a) d ON d.node_id = s.node_id
   ORDER BY d.degree * s.reachable / (s.total / s.reachable / 1000.0 + 1) DESC, s.node_id LIMIT 100""",
-    FEW,
+    CLOSURE,
 )
 def steiner_candidates(fx):
-    return S.steiner_candidates(_edges(fx), _few(fx))
+    return S.steiner_candidates(_edges(fx), fx.terminals)
 
 
 @query(
     """SELECT s.node_id FROM (SELECT node AS node_id, count(*) AS reachable, CAST(sum(dist) AS BIGINT) AS total FROM far
-  WHERE dist <= 10000000 AND node NOT IN (SELECT node_id FROM few) GROUP BY node HAVING count(*) >= 2) s
+  WHERE dist <= 10000000 AND node NOT IN (SELECT node_id FROM fx_terminals) GROUP BY node HAVING count(*) >= 2) s
   JOIN (SELECT a AS node_id, count(*) AS degree FROM fx_adj GROUP BY a) d ON d.node_id = s.node_id
   ORDER BY d.degree * s.reachable / (s.total / s.reachable / 1000.0 + 1) DESC, s.node_id LIMIT 10""",
-    FEW,
+    CLOSURE,
 )
 def topk_candidates(fx):
-    return S.steiner_candidates(_edges(fx), _few(fx), most=10).select("node_id")
+    return S.steiner_candidates(_edges(fx), fx.terminals, most=10).select("node_id")
 
 
 @query(
-    """SELECT node_id FROM few UNION SELECT node_id FROM (SELECT s.node_id FROM (SELECT node AS node_id, count(*) AS reachable, CAST(sum(dist) AS BIGINT) AS total FROM far
-  WHERE dist <= 10000000 AND node NOT IN (SELECT node_id FROM few) GROUP BY node HAVING count(*) >= 2) s
+    """SELECT node_id FROM fx_terminals UNION SELECT node_id FROM (SELECT s.node_id FROM (SELECT node AS node_id, count(*) AS reachable, CAST(sum(dist) AS BIGINT) AS total FROM far
+  WHERE dist <= 10000000 AND node NOT IN (SELECT node_id FROM fx_terminals) GROUP BY node HAVING count(*) >= 2) s
   JOIN (SELECT a AS node_id, count(*) AS degree FROM fx_adj GROUP BY a) d ON d.node_id = s.node_id
   ORDER BY d.degree * s.reachable / (s.total / s.reachable / 1000.0 + 1) DESC, s.node_id LIMIT 10)""",
-    FEW,
+    CLOSURE,
 )
 def extended_terminals(fx):
-    few = _few(fx)
-    return few.union(S.steiner_candidates(_edges(fx), few, most=10).select("node_id")).distinct()
+    return fx.terminals.union(S.steiner_candidates(_edges(fx), fx.terminals, most=10).select("node_id")).distinct()
 
 
-@query("SELECT node_id FROM (SELECT src AS node_id FROM steps UNION SELECT dst FROM steps) WHERE node_id NOT IN (SELECT node_id FROM few)", FEW_TREE)
+@query("SELECT node_id FROM (SELECT src AS node_id FROM steps UNION SELECT dst FROM steps) WHERE node_id NOT IN (SELECT node_id FROM fx_terminals)", CLOSURE_TREE)
 def steiner_points(fx):
-    return S.mst_approximation(_edges(fx), _few(fx)).steiner_points
+    return S.mst_approximation(_edges(fx), fx.terminals).steiner_points
 
 
 #: Leaves go in rounds: the recursion gathers the nodes that have become leaves.
@@ -288,22 +281,14 @@ def load_graph(fx):
     return load(_edges(fx).withColumn("ordinal", F.monotonically_increasing_id()))
 
 
-@query(
-    """SELECT CAST(min(cost) AS BIGINT) AS cost FROM (
-  SELECT a1.dist + a2.dist + a3.dist AS cost FROM far a1 JOIN far a2 ON a2.node = a1.node AND a2.origin > a1.origin
-  JOIN far a3 ON a3.node = a1.node AND a3.origin > a2.origin WHERE a1.origin IN (SELECT node_id FROM few ORDER BY node_id LIMIT 3)
-  AND a2.origin IN (SELECT node_id FROM few ORDER BY node_id LIMIT 3) AND a3.origin IN (SELECT node_id FROM few ORDER BY node_id LIMIT 3))""",
-    FEW,
-)
+@query()
 def solve_dp_cost(fx):
-    """Three terminals: the best tree is a star around some node."""
-    solved = S.dijkstra_steiner(_edges(fx), fx.terminals.orderBy("node_id").limit(3))
-    return solved.edges.agg(F.sum("weight").alias("cost"))
+    return S.dijkstra_steiner(_edges(fx), fx.terminals).edges.agg(F.sum("weight").alias("cost"))
 
 
 @query()
 def solve_dp(fx):
-    return S.dijkstra_steiner(_edges(fx), fx.terminals.orderBy("node_id").limit(5)).edges
+    return S.dijkstra_steiner(_edges(fx), fx.terminals).edges
 
 
 @query()
@@ -313,17 +298,17 @@ def solve_pruned(fx):
 
 @query()
 def solve_mst_points(fx):
-    return S.mst_steiner_points(_edges(fx), _few(fx), most=5).edges
+    return S.mst_steiner_points(_edges(fx), fx.terminals).edges
 
 
 @query()
 def solve_sph(fx):
-    return S.shortest_path_heuristic(_edges(fx), _few(fx)).edges
+    return S.shortest_path_heuristic(_edges(fx), fx.terminals).edges
 
 
 @query()
 def solve_genetic(fx):
-    return S.genetic(_edges(fx), _few(fx), population=10, generations=4, islands=2).edges
+    return S.genetic(_edges(fx), fx.terminals).edges
 
 
 @query()
@@ -341,7 +326,7 @@ def list_algorithms(fx):
 
 @query()
 def run_all(fx):
-    solved = S.run_all(_edges(fx), fx.terminals.orderBy("node_id").limit(3))
+    solved = S.run_all(_edges(fx), fx.terminals)
     rows = [(n, None if isinstance(s, Exception) else s.total_weight, None if isinstance(s, Exception) else s.is_connected) for n, s in solved.items()]
     return fx.spark.createDataFrame(rows, "algorithm string, total_weight double, is_connected boolean")
 

@@ -13,7 +13,7 @@ from .operators import solvers as S
 from .plans.fixtures import Fixtures, oracle
 
 from .queries_build import CHORDS, _CROSS, _points, _segments
-from .queries_graph import FEW_TREE, _edges, _few
+from .queries_graph import CLOSURE_TREE, _edges
 from .sources import readers, writers
 
 QUERIES: dict = {}
@@ -31,11 +31,11 @@ def query(sql: str | None = None, more: str = ""):
 
 
 def _solution(fx: Fixtures) -> DataFrame:
-    return S.mst_approximation(_edges(fx), _few(fx)).edges
+    return S.mst_approximation(_edges(fx), fx.terminals).edges
 
 
-SOLVED = FEW_TREE + ", so AS (SELECT e.src, e.dst, e.w_mm AS weight FROM fx_edges e JOIN steps s ON s.src = e.src AND s.dst = e.dst)"
-_IN = "(SELECT node_id FROM few)"
+SOLVED = CLOSURE_TREE + ", so AS (SELECT e.src, e.dst, e.w_mm AS weight FROM fx_edges e JOIN steps s ON s.src = e.src AND s.dst = e.dst)"
+_IN = "(SELECT node_id FROM fx_terminals)"
 _DEG = "dg AS (SELECT n.node_id, count(a.a) AS degree FROM fx_nodes n LEFT JOIN fx_adj a ON a.a = n.node_id GROUP BY n.node_id)"
 
 
@@ -58,7 +58,7 @@ def export_terminals(fx):
 
 @query(f"SELECT src, dst, weight, CASE (src IN {_IN})::INT + (dst IN {_IN})::INT WHEN 2 THEN 'terminal-terminal' WHEN 1 THEN 'terminal-steiner' ELSE 'steiner-steiner' END AS edge_type, 'mst_approximation' AS algorithm FROM so", SOLVED)
 def solution_edges_typed(fx):
-    return R.solution_edges_typed(_solution(fx), _few(fx), "mst_approximation")
+    return R.solution_edges_typed(_solution(fx), fx.terminals, "mst_approximation")
 
 
 @query(
@@ -67,12 +67,12 @@ def solution_edges_typed(fx):
     SOLVED,
 )
 def solution_nodes_typed(fx):
-    return R.solution_nodes_typed(_solution(fx), fx.nodes, _few(fx), "mst_approximation")
+    return R.solution_nodes_typed(_solution(fx), fx.nodes, fx.terminals, "mst_approximation")
 
 
 @query(f"SELECT src, dst, weight, src IN {_IN} OR dst IN {_IN} AS is_terminal_edge FROM so", SOLVED)
 def solution_frame(fx):
-    return R.solution_frame(_solution(fx), _few(fx))
+    return R.solution_frame(_solution(fx), fx.terminals)
 
 
 _TWO = "two AS (SELECT 'all' AS algorithm, src, dst, w_mm AS weight FROM fx_edges UNION ALL SELECT 'right', src, dst, w_mm FROM fx_edges WHERE dst = src + 1)"
@@ -111,11 +111,10 @@ def benchmark_summary(fx):
 
 @query()
 def benchmark_rows(fx):
-    """Fast solvers on two sets of terminals, one row each."""
+    """Two solvers on the network, one row each."""
     from .api import benchmark
 
-    few = fx.terminals.orderBy("node_id")
-    return benchmark(fx.spark, {"two": (_edges(fx), few.limit(2)), "three": (_edges(fx), few.limit(3))}, ["dijkstra_steiner"]).drop("seconds")
+    return benchmark(fx.spark, {"grid": (_edges(fx), fx.terminals)}, ["mst_approximation", "pruned_dijkstra"]).drop("seconds")
 
 
 INFRA = """
@@ -260,10 +259,10 @@ def roads_by_state(fx):
 # Sources
 
 
-@query("SELECT road_id, pos, lon_u / 1e6 AS x, lat_u / 1e6 AS y FROM fx_road_vertices WHERE road_id % 20 = 0")
+@query("SELECT road_id, pos, lon_u / 1e6 AS x, lat_u / 1e6 AS y FROM fx_road_vertices")
 def scan_roads(fx):
     """Lines written as GeoJSON and read back."""
-    v = fx.road_vertices.where("road_id % 20 = 0")
+    v = fx.road_vertices
     lines = v.groupBy("road_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", (F.col("lon_u") / 1e6).alias("x"), (F.col("lat_u") / 1e6).alias("y")))), lambda p: F.struct(p.x.alias("x"), p.y.alias("y"))).alias("geom"))
     path = writers.write_geojson(lines, "road_id", "geom", writers.fresh_path(fx.spark, "roads"))
     back = readers.read_geojson(fx.spark, path)
