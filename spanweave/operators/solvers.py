@@ -128,10 +128,46 @@ def mst_steiner_points(edges: DataFrame, terminals: DataFrame, most: int = 100)
     return _finish("mst_steiner_points", wide.edges, terminals, failed=wide.total_weight == float("inf"), candidates=extra.count())
 
 
-@register("shortest_path_heuristic", False, "a tree that grows by the nearest terminal")
-def shortest_path_heuristic(edges: DataFrame, terminals: DataFrame, name: str = "shortest_path_heuristic") -> Solution:
-    """Starts at the smallest terminal; stops, with what it has, where no further terminal is reachable."""
-    left = written(terminals.select("node_id").distinct(), "left")
+def nearest_tree(frame: pd.DataFrame, terminals: list[int]) -> set[tuple[int, int]]:
+    """The ends of the edges of a tree that starts at the smallest terminal and always takes in the nearest one
+    left. A new path's nodes spread their labels (distance, source) over those that they improve only."""
+    near, none = _neighbours(frame), (float("inf"), 0)
+    labels: dict[int, tuple[float, int]] = {}
+    parents: dict[int, int] = {}
+    first, left = min(terminals), set(terminals) - {min(terminals)}
+    ahead: list[tuple[float, int]] = []
+
+    def spread(seeds: list[int]) -> None:
+        heap = [(0, s, s, s) for s in sorted(seeds)]
+        while heap:
+            dist, source, node, parent = heapq.heappop(heap)
+            if labels.get(node, none) <= (dist, source):
+                continue
+            labels[node], parents[node] = (dist, source), parent
+            if node in left:
+                heapq.heappush(ahead, (dist, node))
+            for other, w in near.get(node, ()):
+                if (dist + w, source) < labels.get(other, none):
+                    heapq.heappush(heap, (dist + w, source, other, node))
+
+    spread([first])
+    found: set[tuple[int, int]] = set()
+    while ahead:
+        dist, node = heapq.heappop(ahead)
+        if node not in left or labels[node][0] != dist:
+            continue
+        path = []
+        while parents[node] != node:
+            path.append(node)
+            found.add((node, parents[node]))
+            node = parents[node]
+        left.difference_update(path)
+        spread(path)
+    return found
+
+
+def _grown(edges: DataFrame, left: DataFrame) -> DataFrame:
+    """The same tree by a distributed search for each terminal, on graphs of any size."""
     first = left.agg(F.min("node_id")).first()[0]
     tree = edges.limit(0).select("src", "dst", "weight")
     inside = left.where(F.col("node_id") == first)
@@ -146,7 +182,20 @@ def shortest_path_heuristic(edges: DataFrame, terminals: DataFrame, name: str =
         tree = written(tree.union(path.select("src", "dst", "weight")).distinct(), "tree")
         inside = written(G.nodes_of(tree).union(inside).distinct(), "inside")
         left = written(left.join(inside, "node_id", "left_anti"), "left")
-    return _finish(name, tree, terminals)
+    return tree
+
+
+@register("shortest_path_heuristic", False, "a tree that grows by the nearest terminal")
+def shortest_path_heuristic(edges: DataFrame, terminals: DataFrame, name: str = "shortest_path_heuristic") -> Solution:
+    """Starts at the smallest terminal; stops, with what it has, where no further terminal is reachable. The
+    terminals come one after another, so a graph of a checked size is searched in memory."""
+    left = written(terminals.select("node_id").distinct(), "left")
+    if left.isEmpty() or max(edges.count(), left.count()) > SMALL_EDGES:
+        tree = edges.limit(0).select("src", "dst", "weight") if left.isEmpty() else _grown(edges, left)
+        return _finish(name, tree, terminals)
+    found = nearest_tree(_small(edges, name), [r[0] for r in left.collect()])
+    pairs = edges.sparkSession.createDataFrame(sorted(found), "src bigint, dst bigint")
+    return _finish(name, G.extract_subgraph(edges.select("src", "dst", "weight"), pairs).distinct(), terminals)
 
 
 def _small(edges: DataFrame, what: str) -> pd.DataFrame:

@@ -98,6 +98,17 @@ def test_thirteen_terminals_fall_back(spark):
     assert S.dijkstra_steiner(edges, nodes(spark, range(13))).name == "dijkstra_steiner_fallback"
 
 
+def test_tree_grown_in_memory_is_the_distributed_one(spark):
+    rng = random.Random(8)
+    for n in (12, 30):
+        rows = [(a, b, rng.randrange(1, 4)) for a in range(n) for b in rng.sample(range(n), 2) if a != b] + [(n + 1, n + 2, 1)]
+        ends = nodes(spark, sorted(rng.sample(range(n), 6)) + [n + 2])
+        edges = frame(spark, rows)
+        alone = {tuple(r) for r in S.shortest_path_heuristic(edges, ends).edges.collect()}
+        assert alone == {tuple(r) for r in S._grown(edges, ends).collect()}
+    assert S.shortest_path_heuristic(frame(spark, [(0, 1, 1)]), nodes(spark, [0]).limit(0)).edges.count() == 0
+
+
 def test_forest_is_stitched(spark):
     edges = frame(spark, [(0, 1, 1), (1, 2, 9), (2, 3, 1), (0, 3, 50)])
     joined = G.connect_forest(edges.where("weight = 1"), edges)
