@@ -269,3 +269,40 @@ def test_no_machine_local_folder_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         common.shared_dir(Far)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_verified_stretches_cover_all_near_ones(seed):
+    """Of two texts with scattered edits, the places in any stretch at the threshold lie in a verified one."""
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(160)]
+    copy = [f"x{i}" if rng.random() < 0.06 else w for i, w in enumerate(words)]
+    a, b = passages.Passage(" ".join(words)), passages.Passage(" ".join(copy))
+    same = np.append(0, np.cumsum(a.shingles == b.shingles))
+    near = np.zeros(len(a.shingles), bool)
+    for i in range(len(near)):
+        for j in range(i + passages.SPAN, len(near) + 1):
+            shared = same[j] - same[i]
+            if same[i + 1] > same[i] and same[j] > same[j - 1] and shared >= passages.LEAST * (2 * (j - i) - shared):
+                near[i:j] = True
+    found = np.zeros(len(near), bool)
+    for first, last, *_ in passages.shared_passages(a, b):
+        found[first:last] = True
+    assert (found == near).all()
+
+
+def test_large_family_is_cut_in_few_comparisons(spark, monkeypatch):
+    """A text and more than FAMILY edited copies of it, some so edited that they have loose places: nothing near is
+    left, with far fewer comparisons than pairs, and the rows grow with the texts."""
+    rng = random.Random(5)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    rows = [(i, " ".join(f"own{rng.randrange(10**9)}" if rng.random() < 0.08 * (i > 0) else w for w in words)) for i in range(260)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    compared, former = [], passages._compared
+    monkeypatch.setattr(passages, "_compared", lambda pairs, held: compared.append(pairs.count()) or former(pairs, held))
+    found = passages.near_duplicate_passages(docs).collect()
+    assert sum(compared) < 0.2 * len(rows) * (len(rows) - 1) / 2
+    assert len(found) <= 3 * len(rows) and {r["component_id"] for r in found} == {0}
+    after = [passages.Passage(r["text"]) for r in passages.cut_passages(docs).collect()]
+    left = sum(bool(passages.shared_passages(a, b)) for i, a in enumerate(after) for b in after[:i])
+    assert left <= 0.002 * len(rows) * (len(rows) - 1) / 2, left
