@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, discard, fresh, mix, text_chunks, written
+from .common import Words, discard, fresh, marked, mix, sifted, text_chunks, written
 from .components import components
 
 BINS, BANDS = 128, 32
@@ -110,10 +110,14 @@ def _may_link() -> str:
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold; b, the hub of a star, may be very common."""
-    joined = pairs.join(sets.select(F.col("cid").alias("a"), F.col("members").alias("of_a")), "a").join(sets.select(F.col("cid").alias("b"), F.col("members").alias("of_b")), "b")
+    pairs = written(pairs, "pairs")
+    of_a, of_b = (sifted(sets, F.col("cid"), pairs.select(c)).select(F.col("cid").alias(c), F.col("members").alias(f"of_{c}")) for c in ("a", "b"))
+    joined = pairs.join(of_a, "a").join(of_b, "b")
     both = F.size(F.array_intersect("of_a", "of_b"))
     counted = joined.select("a", "b", both.alias("both"), (F.size("of_a") + F.size("of_b")).alias("total"))
-    return written(counted.where(f"100 * both >= {CLOSE} * (total - both)").select("a", "b"), "links")
+    links = written(counted.where(f"100 * both >= {CLOSE} * (total - both)").select("a", "b"), "links")
+    discard(pairs)
+    return links
 
 
 def near_duplicates(docs: DataFrame, with_key: bool = False) -> DataFrame:
@@ -130,10 +134,11 @@ def near_duplicates(docs: DataFrame, with_key: bool = False) -> DataFrame:
     mixed = written(rows.groupBy("bucket").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("bucket", "n"), "mixed")
     members = written(rows.join(mixed, "bucket"), "members")
     classes = whole.drop("bands")
-    wanted = classes.join(members.select("cid").distinct(), "cid", "left_semi")
+    wanted = written(classes.join(members.select("cid").distinct(), "cid", "left_semi").select(F.col("rep").alias("doc_id"), "cid"), "wanted")
     discard(mixed)
-    texts = docs.select("doc_id", "text").join(wanted.select(F.col("rep").alias("doc_id"), "cid"), "doc_id").select("cid", "text")
+    texts = sifted(docs.select("doc_id", "text"), F.col("doc_id"), wanted.select("doc_id")).join(wanted, "doc_id").select("cid", "text")
     sets = written(texts.mapInArrow(_sets, "cid bigint, members array<bigint>").dropDuplicates(["cid"]), "sets")
+    discard(wanted)
 
     # The hub of a bucket is its member that shares most buckets with others: of edited copies the least edited.
     typical = written(members.groupBy("cid").agg(F.sum("n").alias("met")), "typical")
@@ -194,8 +199,11 @@ def near_duplicates(docs: DataFrame, with_key: bool = False) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """docs without the rows whose document is not kept; all columns stay. Rows that repeat both doc_id and
     text are one document and stay or go together; rows without doc_id stay."""
-    id_, key = fresh(docs, "id", "key")
+    id_, key, may = fresh(docs, "id", "key", "may")
     text_key = F.xxhash64(F.coalesce("text", F.lit("")))
     keyed = docs.select("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("bigint"))
     gone = near_duplicates(keyed, with_key=True).where("not kept").select(F.col("doc_id").alias(id_), F.col("text_key").alias(key)).distinct()
-    return docs.join(written(gone, "gone"), (docs["doc_id"] == F.col(id_)) & (text_key == F.col(key)), "left_anti")
+    gone = written(gone, "gone")
+    split = marked(docs, text_key, gone.select(key), may)
+    same = (split["doc_id"] == F.col(id_)) & (text_key == F.col(key))
+    return split.where(~F.col(may)).union(split.where(may).join(gone, same, "left_anti")).drop(may)

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spanweave.llm import components, fingerprints, induced, neardup, passages, substrings
+from spanweave.llm import common, components, fingerprints, induced, neardup, passages, substrings
 
 from . import tables
 
@@ -306,3 +306,41 @@ def test_large_family_is_cut_in_few_comparisons(spark, monkeypatch):
     after = [passages.Passage(r["text"]) for r in passages.cut_passages(docs).collect()]
     left = sum(bool(passages.shared_passages(a, b)) for i, a in enumerate(after) for b in after[:i])
     assert left <= 0.002 * len(rows) * (len(rows) - 1) / 2, left
+
+
+@pytest.mark.parametrize("most", [common.SIEVE_BITS, common.PART_BITS])
+def test_no_key_is_sifted_out(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "SIEVE_BITS", most)
+    rows = spark.range(-5000, 5000).withColumn("part", F.lit("x")).union(spark.createDataFrame([(None, "y")], "id bigint, part string"))
+    keys = spark.range(-5000, 5000, 7).select((F.col("id") - F.col("id") % 2).alias("k"))
+    got = common.marked(rows, F.col("id"), keys, "may")
+    assert got.columns == ["id", "part", "may"] and got.count() == 10001
+    known = {r["k"] for r in keys.collect()}
+    may = {r["id"] for r in got.where("may").collect()}
+    assert known <= may and len(may - known) < (500 if most > common.PART_BITS else 1000)
+    assert common.sifted(rows, F.col("id"), keys.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("stage", [neardup.drop_near_duplicates, passages.cut_passages])
+def test_lone_texts_are_not_shuffled(spark, stage):
+    """Texts that lose nothing meet no join, however large the table of what goes."""
+    rng = random.Random(5)
+    texts = [" ".join(f"{rng.getrandbits(40):x}" for _ in range(800)) for _ in range(100)]
+    texts.append(texts[7] + " and more")
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id bigint, text string, n_chars bigint")
+
+    def sent():
+        sc = spark.sparkContext._jsc.sc()
+        sc.listenerBus().waitUntilEmpty()
+        return sc.statusStore().executorSummary("driver").totalShuffleWrite()
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = stage(docs)
+        before = sent()
+        got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in out.collect()}
+        assert sent() - before < sum(map(len, texts)) / 10
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert all(got[i] == (texts[i], len(texts[i])) for i in range(100) if i != 7)
+    assert out.columns == docs.columns and got.get(7) != got.get(100)
