@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -65,3 +67,17 @@ def test_short_geodesic_agrees_with_the_long_way(spark):
     cols = [F.col(c) for c in "abcd"]
     r = df.select(geo.short_geodesic(*cols).alias("s"), shapes.geodesic_m(*cols).alias("g")).first()
     assert r["s"] == pytest.approx(r["g"], abs=1e-6)
+
+
+def test_long_lines_are_cut_in_one_pass(spark):
+    """The work grew with the square of the vertices, and with the line's expression at each of them."""
+    n = 300
+    line = F.transform(F.sequence(F.lit(0), F.lit(n)), lambda i: F.struct(i.cast("double").alias("x"), F.lit(0.0).alias("y")))
+    lines = spark.range(200).select("id", line.alias("line")).withColumn("size", geo.line_length(F.col("line")))
+    began = time.perf_counter()
+    part = lines.select("id", "size", geo.substring_line(F.col("line"), F.col("size") * 0.25, F.col("size") * 0.75).alias("part"))
+    got = part.select(F.sum(geo.line_length(F.col("part"))), F.max(F.size("part"))).first()
+    assert tuple(got) == (200 * n / 2, n // 2 + 1)
+    cuts = spark.range(200).select(line.alias("line")).select(F.size(geo.chord_places(geo.line_length(F.col("line")), 0.5)).alias("n"))
+    assert cuts.agg(F.sum("n")).first()[0] == 200 * (2 * n + 1)
+    assert time.perf_counter() - began < 30
