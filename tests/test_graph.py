@@ -166,3 +166,76 @@ def test_components_of_a_long_chain_and_a_star(spark):
     got = {r["component"]: r["count"] for r in names.groupBy("component").count().collect()}
     assert got == {0: 61, 100: 40, 140: 1}
     assert names.agg(F.count("*")).first()[0] == 102
+
+
+def _distances(rows, origin):
+    import heapq
+
+    near = {}
+    for a, b, w in rows:
+        near.setdefault(a, []).append((b, w))
+        near.setdefault(b, []).append((a, w))
+    best, heap = {origin: 0}, [(0, origin)]
+    while heap:
+        d, v = heapq.heappop(heap)
+        for u, w in near.get(v, ()):
+            if d + w < best.get(u, d + w + 1):
+                best[u] = d + w
+                heapq.heappush(heap, (d + w, u))
+    return best, near
+
+
+def _closure_tree_paths(rows, terminals):
+    """All distances, Kruskal's tree with ties by (weight, src, dst), and its paths by the least node before."""
+    far = {t: _distances(rows, t) for t in terminals}
+    pairs = sorted((far[s][0][t], s, t) for s in terminals for t in terminals if s < t and t in far[s][0])
+    root, out, tree = {t: t for t in terminals}, set(), []
+
+    def find(v):
+        return v if root[v] == v else find(root[v])
+
+    for weight, s, t in pairs:
+        if find(s) != find(t):
+            root[find(s)] = find(t)
+            tree.append((s, t, weight))
+            dist, near = far[s]
+            while t != s:
+                before = min(u for u, w in near[t] if dist[u] + w == dist[t])
+                out.add((min(before, t), max(before, t)))
+                t = before
+    return sorted(tree), out
+
+
+def test_closure_tree_without_a_search_a_terminal(spark, monkeypatch):
+    """Every terminal searched the whole graph; now the regions' borders do, with all ties (two weights only)."""
+    rng = np.random.default_rng(0)
+    rows = [(a, b, int(w)) for (a, b, _), w in zip(grid(9), rng.integers(1, 3, 200), strict=False)]
+    terminals = sorted(int(t) for t in rng.choice(81, 14, replace=False))
+
+    def no_search(*_, **__):
+        raise AssertionError("a search from each terminal")
+
+    monkeypatch.setattr(G, "distances_from", no_search)
+    tree, paths = _closure_tree_paths(rows, terminals)
+    cells = G.Cells.of(frame(spark, rows), nodes(spark, terminals))
+    chosen = G.minimum_spanning_forest(cells.closure())
+    assert sorted(map(tuple, chosen.select("src", "dst", "weight").collect())) == tree
+    assert set(map(tuple, cells.paths(chosen).collect())) == paths
+
+
+def test_searches_in_groups_add_up(spark, monkeypatch):
+    """Distances of pairs are not written; those at exactly the limit count, in whichever block they lie."""
+    monkeypatch.setattr(G, "distances_from", None)
+    rows, terminals = grid(8), [0, 3, 9, 27, 36, 50, 63]
+    far = {t: _distances(rows, t)[0] for t in terminals}
+    limit = far[27][50]
+    want = {}
+    for t in terminals:
+        for v, d in far[t].items():
+            if d <= limit:
+                n, total = want.get(v, (0, 0))
+                want[v] = (n + 1, total + d)
+    got = G.reach_totals(frame(spark, rows), nodes(spark, [*terminals, 700]), limit, size=3).collect()
+    assert {r["node"]: (r["reachable"], r["total"]) for r in got} == want | {700: (1, 0)}
+    pairs = {(s, t, far[s][t]) for s in terminals for t in terminals if s < t}
+    assert set(map(tuple, G.metric_closure(frame(spark, rows), nodes(spark, [*terminals, 700])).collect())) == pairs
