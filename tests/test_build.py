@@ -114,3 +114,14 @@ def test_queries_without_sql_read_all_roads_and_locations(spark):
     passed = sorted((r["loc_id"], r["x"], r["y"]) for r in QUERIES["geometry_gate"](spark, sf).collect())
     assert passed == sorted((i, x + k, y) for i, (x, y) in places.items() for k in range(1 if i % 2 == 0 else 3))
     assert {r["loc_id"] for r in QUERIES["snap_to_samples"](spark, sf).collect()} == set(places)
+
+
+def test_nearest_edge_sorts_after_the_shuffle(spark):
+    """A scan's task sorted all its pairs, so its memory grew with the table."""
+    points = spark.createDataFrame([(1, 0, 0), (2, 500, 40), (3, 5000, 5000)], "loc_id bigint, lon_u bigint, lat_u bigint")
+    lines = spark.createDataFrame([(0, 1, 1000, 0, 0, 1000, 0), (0, 2, 1000, 0, 0, 0, 1000)], "src bigint, dst bigint, weight bigint, x1 bigint, y1 bigint, x2 bigint, y2 bigint")
+    found = P.nearest_edge(points, lines)
+    assert {r["loc_id"]: (r["src"], r["dst"]) for r in found.collect()} == {1: (0, 1), 2: (0, 1)}
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    below = plan[plan.rindex("SortAggregate") if "SortAggregate" in plan else plan.rindex("Aggregate") :]
+    assert "RepartitionByExpression" in found._jdf.queryExecution().optimizedPlan().toString() and "Join" in below
