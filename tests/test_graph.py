@@ -239,3 +239,22 @@ def test_searches_in_groups_add_up(spark, monkeypatch):
     assert {r["node"]: (r["reachable"], r["total"]) for r in got} == want | {700: (1, 0)}
     pairs = {(s, t, far[s][t]) for s in terminals for t in terminals if s < t}
     assert set(map(tuple, G.metric_closure(frame(spark, rows), nodes(spark, [*terminals, 700])).collect())) == pairs
+
+
+def test_tree_grows_by_local_work():
+    """Each path's labels ran over all nodes that they improved, so time grew faster than the graph."""
+    import time
+
+    import pandas as pd
+
+    side = 200
+    k = np.arange(side * side)
+    right, up = k[k % side < side - 1], k[k < side * (side - 1)]
+    weights = 80000 + 2 * ((k * 7919) % 40009)
+    table = pd.DataFrame({"src": np.concatenate([right, up]), "dst": np.concatenate([right + 1, up + side]), "weight": np.concatenate([weights[right], weights[up] + 1])})
+    terminals = sorted({i * 7919 % len(k) for i in range(2000)})
+    began = time.perf_counter()
+    found = S.nearest_tree(table, terminals)
+    assert time.perf_counter() - began < 10
+    ends = {v for e in found for v in e}
+    assert len(found) == len(ends) - 1 and ends >= set(terminals)
