@@ -125,3 +125,11 @@ def test_nearest_edge_sorts_after_the_shuffle(spark):
     plan = found._jdf.queryExecution().sparkPlan().toString()
     below = plan[plan.rindex("SortAggregate") if "SortAggregate" in plan else plan.rindex("Aggregate") :]
     assert "RepartitionByExpression" in found._jdf.queryExecution().optimizedPlan().toString() and "Join" in below
+
+
+def test_samples_come_by_segment(spark):
+    """The whole line was folded for each sample; vertices on a sample, lines without length and gaps count."""
+    rows = [(1, 0, 0.0, 0.0), (1, 1, 3.0, 0.0), (1, 2, 3.0, 0.0), (1, 4, 3.0, 7.5), (2, 0, 1.0, 1.0), (2, 1, 1.0, 1.0), (3, 0, 5.0, 5.0)]
+    stretches = B.sample_stretches(spark.createDataFrame(rows, "road_id bigint, pos bigint, x double, y double"), 3.0)
+    got = {(r["road_id"], r["i"]): (r["x"], r["y"]) for r in B.sample_points(stretches, 3.0).collect()}
+    assert got == {(1, 0): (0.0, 0.0), (1, 1): (3.0, 0.0), (1, 2): (3.0, 3.0), (1, 3): (3.0, 6.0), (2, 0): (1.0, 1.0)}
